@@ -56,7 +56,7 @@ def exact_dedup(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
         open_ = F.col("size").isNotNull() & (F.col("n") > read)
         split = (
             rows.withColumn("digit", digit)
-            .join(groups, ["gid", "n", "digit"], "left")
+            .join(groups.hint("merge"), ["gid", "n", "digit"], "left")  # the same plan at every size
             .select(
                 "doc_id",
                 "n",
