@@ -1,20 +1,21 @@
 """Near-duplicate lines by a deletion neighbourhood.
 
 Two lines are near duplicates when one becomes the other by inserting, deleting
-or substituting at most one word. A line's variants are the line itself and the
-line without each one of its words, as 128-bit keys of the words left. Lines
-within the bound share a variant: two that differ by a substitution share the
-one without the word at that place, and of two that differ by a word one is a
-variant of the other. So the earliest line of every (variant, place) group, and
-of every variant that is a line itself, tells each line the earliest one within
-its bound, without pairs inside a group; those partners' word distances are
-then verified.
+or substituting at most one word. A line's variants are the line without each
+one of its words and the line itself, open at each gap; a variant's key is the
+hash of the words before the place and the hash of those behind it. Lines that
+differ by a substitution share the variant without the word at that place; of
+two that differ by a word, one without it is the other, open at that gap; and
+lines that share a variant are within the bound. So the earliest line of each
+variant's group is a partner of all others in it, and no pairs inside a group
+are made. Partners' word distances are then verified.
 
 Exact repeats are folded first, by a map-side combined minimum, so a line that
-a third of all documents hold is one row from then on. Variants are only made
-of lines that can have a partner: one edit leaves either the first or the last
-HEAD words alone, so a line whose first and last HEAD words both occur in no
-other line is alone.
+a third of all documents hold is one row from then on. Variants are made only
+of lines that can have a partner, and only where they can differ: one edit
+leaves either the first or the last half of the shorter line's words alone, so
+halves are counted first, and a line's half that no other line has rules out
+edits in the other half.
 """
 
 from __future__ import annotations
@@ -22,28 +23,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key128, keyed_rows, packed, saved, text_of
+from .common import key128, packed, saved, text_of
 
-#: Words that a line needs to be looked at, and to be looked at for near duplicates (twice HEAD at least).
-MIN_WORDS, NEAR_WORDS, HEAD = 5, 8, 4
+#: Words that a line needs to be looked at, and to be looked at for near duplicates.
+MIN_WORDS, NEAR_WORDS = 5, 8
 
 
 def words_of(line: Column) -> Column:
     return F.filter(F.split(line, r"[ \t\r\x0B\f]+"), lambda w: w != "")
 
 
-def _keyed(words: Column) -> Column:
-    """128-bit key of an array of words as a struct."""
+def line_rows(docs: DataFrame) -> DataFrame:
+    """at (doc_id, r, line_no), line, words: the lines of at least MIN_WORDS words."""
+    rows = docs.select(docs["doc_id"].alias("doc_id"), _row_key(docs).alias("r"), F.split(text_of(docs), "\n").alias("lines"))
+    rows = rows.select("doc_id", "r", F.posexplode("lines").alias("line_no", "line"))
+    rows = rows.select(F.struct("doc_id", "r", "line_no").alias("at"), "line", words_of(F.col("line")).alias("words"))
+    return rows.where(F.size("words") >= MIN_WORDS)
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """Tells rows of one doc_id apart by their texts."""
+    return F.xxhash64(docs["doc_id"], text_of(docs))
+
+
+def _line_key(words: Column) -> Column:
     return F.struct(*(x.alias(n) for x, n in zip(key128(words), ("k1", "k2"), strict=True)))
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """at (doc_id, r1, r2, line_no), line, words: the lines of at least MIN_WORDS words."""
-    text = text_of(docs)
-    rows = keyed_rows(docs, docs["doc_id"].alias("doc_id"), F.split(text, "\n").alias("lines"))
-    rows = rows.select("doc_id", "r1", "r2", F.posexplode("lines").alias("line_no", "line"))
-    rows = rows.select(F.struct("doc_id", "r1", "r2", "line_no").alias("at"), "line", words_of(F.col("line")).alias("words"))
-    return rows.where(F.size("words") >= MIN_WORDS)
+def _halves(n: Column, words: Column) -> Column:
+    """The halves by which a line of n words meets lines of as many words and of one more or less: end, number of words of the shorter line, hash."""
+
+    def half(end: int, shorter: Column) -> Column:
+        h = F.floor(shorter / 2).cast("int")
+        part = F.slice(words, F.lit(1), h) if end == 0 else F.slice(words, -h, h)
+        return F.struct(F.lit(end).alias("end"), F.xxhash64(F.lit(end), shorter, part).alias("hash"))
+
+    return F.array(*(half(end, shorter) for end in (0, 1) for shorter in (n, n - 1)))
+
+
+def _chain(hashes: Column) -> Column:
+    """Hashes of the first 0, 1, ... all of the words."""
+    return F.aggregate(hashes, F.array(F.lit(17).cast("long")), lambda acc, h: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), h))))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -60,30 +80,32 @@ def within_one(a: Column, b: Column) -> Column:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """at: the places of lines for which an earlier line is equal or within one word edit. Earlier: by doc_id (null first), the row's key, line number."""
-    rows = line_rows(docs).select("at", _keyed(F.col("words")).alias("line_key"), "words", F.size("words").alias("n"))
-    ends = (F.when(F.col("n") >= NEAR_WORDS, _keyed(w)) for w in (F.slice("words", 1, HEAD), F.slice("words", -HEAD, HEAD)))
-    rows = rows.withColumns(dict(zip(("head", "tail"), ends, strict=True)))
-    distinct = saved(rows.groupBy("line_key").agg(F.min(F.struct("at", "words", "n", "head", "tail")).alias("f")).select("line_key", "f.*"), "lines")
-    near = distinct.where(F.col("n") >= NEAR_WORDS)
-    keys = near.select("line_key", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("head").alias("k")), F.struct(F.lit(1).alias("end"), F.col("tail").alias("k")))).alias("e"))
-    common = keys.groupBy("e").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("e")
-    able = near.join(keys.join(common, "e").select("line_key").distinct(), "line_key", "left_semi").select("line_key", "at", "words", "n")
-    able = saved(able, "lines-able")
-    # place -1 is the whole line, place i the line without word i
-    less = F.concat(F.slice("words", 1, F.col("place")), F.slice("words", F.col("place") + 2, F.greatest(F.col("n") - F.col("place") - 1, F.lit(0))))
-    variants = able.select("line_key", "at", "words", "n", F.explode(F.sequence(F.lit(-1), F.col("n") - 1)).alias("place"))
-    variants = variants.select("line_key", "at", "place", F.when(F.col("place") < 0, F.col("line_key")).otherwise(_keyed(less)).alias("variant"))
-    mine = F.struct("at", "line_key")
-    by_place = saved(variants.groupBy("variant", "place").agg(F.min(mine).alias("first"), F.count(F.lit(1)).alias("c")), "line-variants")
-    cut = F.col("place") >= 0
-    by_variant = by_place.groupBy("variant").agg(F.min(F.when(~cut, F.col("first"))).alias("whole"), F.min(F.when(cut, F.col("first"))).alias("cut"), F.sum("c").alias("all")).where("all > 1").drop("all")
-    met = variants.join(by_place.select("variant", "place", "first"), ["variant", "place"]).join(by_variant, "variant")
-    partner = F.when(cut, F.least("first", "whole")).otherwise(F.col("cut"))
-    found = met.select("line_key", "at", partner.alias("p")).where("p.at < at").groupBy("line_key").agg(F.min("p").alias("p")).select("line_key", F.col("p.line_key").alias("other"))
-    found = found.join(able.select("line_key", F.col("words").alias("own")), "line_key").join(able.select(F.col("line_key").alias("other"), F.col("words").alias("theirs")), "other")
-    late = found.where(within_one(F.col("own"), F.col("theirs"))).select("line_key", F.lit(True).alias("late"))
-    first = distinct.select("line_key", F.col("at").alias("first")).join(late, "line_key", "left")
-    return rows.select("at", "line_key").join(first, "line_key").where("late or at <> first").select("at")
+    lines = line_rows(docs).withColumn("n", F.size("words")).withColumn("line_key", _line_key(F.col("words")))
+    halves = F.when(F.col("n") >= NEAR_WORDS, _halves(F.col("n"), F.col("words")))
+    # of equal lines the halves are equal, so the least of (place, halves) is the earliest place with them
+    firsts = lines.select("line_key", F.struct("at", "n", halves.alias("halves")).alias("f")).groupBy("line_key").agg(F.min("f").alias("f"))
+    firsts = saved(firsts.select("line_key", "f.*"), "lines-first")
+    keys = firsts.where(F.col("n") >= NEAR_WORDS).select("line_key", "at", F.explode("halves").alias("half"))
+    shared = keys.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
+    able = keys.join(shared, "half").groupBy("line_key", "at").agg(F.max(F.col("half.end") == 0).alias("same_head"), F.max(F.col("half.end") == 1).alias("same_tail"))
+    # numbered in the order of places, so that the earliest of a group is its least number
+    able = lines.select("line_key", "at", "line").join(able, ["line_key", "at"]).dropDuplicates(["line_key"]).orderBy("at")
+    able = saved(able.withColumn("id", F.monotonically_increasing_id()), "lines-able")
+    w = able.select("id", "same_head", "same_tail", F.transform(words_of(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).withColumn("n", F.size("w"))
+    w = w.select("id", "n", "same_head", "same_tail", _chain(F.col("w")).alias("before"), _chain(F.reverse("w")).alias("behind"))
+    h = F.floor((F.col("n") - 1) / 2).cast("int")
+    # gap g lies behind the first g words; without word g + 1, the words behind the gap are one fewer
+    gap = F.explode(F.sequence(F.when(F.col("same_tail"), 0).otherwise(h), F.when(F.col("same_head"), F.col("n")).otherwise(F.col("n") - h)))
+    w = w.withColumn("gap", gap)
+    front = F.get("before", F.col("gap"))
+    tails = F.array(F.get("behind", F.col("n") - F.col("gap")), F.when(F.col("gap") < F.col("n"), F.get("behind", F.col("n") - F.col("gap") - 1)))
+    variants = w.select("id", front.alias("front"), F.explode(tails).alias("rear")).where("rear is not null")
+    groups = variants.groupBy("front", "rear").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other < last").drop("last")
+    found = variants.join(groups, ["front", "rear"]).where("other < id").groupBy("id").agg(F.min("other").alias("other"))
+    own, theirs = able.select("id", "line_key", "line"), able.select(F.col("id").alias("other"), F.col("line").alias("earlier"))
+    late = found.join(own, "id").join(theirs, "other").where(within_one(words_of(F.col("line")), words_of(F.col("earlier"))))
+    first = firsts.select("line_key", F.col("at").alias("first")).join(late.select("line_key", F.lit(True).alias("late")), "line_key", "left")
+    return lines.select("at", "line_key").join(first, "line_key").where("late or at <> first").select("at")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -98,8 +120,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Columns of other names, including n_lines, n_dropped or emptied, come back
     too, the last three replaced.
     """
-    gone = repeated_lines(docs).groupBy("at.r1", "at.r2").agg(F.collect_set("at.line_no").alias("gone"))
-    rows = keyed_rows(docs, packed(docs)).join(gone, ["r1", "r2"], "left")
+    gone = repeated_lines(docs).groupBy("at.r", "at.doc_id").agg(F.collect_set("at.line_no").alias("gone"))
+    rows = docs.select(_row_key(docs).alias("r"), packed(docs)).alias("d")
+    rows = rows.join(gone.alias("g"), (F.col("d.r") == F.col("g.r")) & F.col("own.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
     text = F.col("own.text").cast("string")
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
