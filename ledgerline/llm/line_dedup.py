@@ -23,22 +23,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key128, packed, saved, text_of
+from .common import dropped, packed, saved, text_of
 
 #: Words that a line needs to be looked at, and to be looked at for near duplicates.
 MIN_WORDS, NEAR_WORDS = 5, 8
 
 
+_BLANKS = " \t\r\x0b\f"
+
+
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, r"[ \t\r\x0B\f]+"), lambda w: w != "")
+    """The words of a line; one empty word if it has none."""
+    return F.split(F.btrim(line, F.lit(_BLANKS)), r"[ \t\r\x0B\f]+")
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """at (doc_id, r, line_no), line, words: the lines of at least MIN_WORDS words."""
+def placed_lines(docs: DataFrame) -> DataFrame:
+    """at (doc_id, r, line_no), line."""
     rows = docs.select(docs["doc_id"].alias("doc_id"), _row_key(docs).alias("r"), F.split(text_of(docs), "\n").alias("lines"))
-    rows = rows.select("doc_id", "r", F.posexplode("lines").alias("line_no", "line"))
-    rows = rows.select(F.struct("doc_id", "r", "line_no").alias("at"), "line", words_of(F.col("line")).alias("words"))
-    return rows.where(F.size("words") >= MIN_WORDS)
+    return rows.select("doc_id", "r", F.posexplode("lines").alias("line_no", "line")).select(F.struct("doc_id", "r", "line_no").alias("at"), "line")
 
 
 def _row_key(docs: DataFrame) -> Column:
@@ -46,17 +48,13 @@ def _row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], text_of(docs))
 
 
-def _line_key(words: Column) -> Column:
-    return F.struct(*(x.alias(n) for x, n in zip(key128(words), ("k1", "k2"), strict=True)))
-
-
 def _halves(n: Column, words: Column) -> Column:
-    """The halves by which a line of n words meets lines of as many words and of one more or less: end, number of words of the shorter line, hash."""
+    """Hashes of the halves by which a line of n words meets lines of as many words and of one more or less: heads, then tails."""
 
     def half(end: int, shorter: Column) -> Column:
         h = F.floor(shorter / 2).cast("int")
         part = F.slice(words, F.lit(1), h) if end == 0 else F.slice(words, -h, h)
-        return F.struct(F.lit(end).alias("end"), F.xxhash64(F.lit(end), shorter, part).alias("hash"))
+        return F.xxhash64(F.lit(end), shorter, part)
 
     return F.array(*(half(end, shorter) for end in (0, 1) for shorter in (n, n - 1)))
 
@@ -80,17 +78,18 @@ def within_one(a: Column, b: Column) -> Column:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """at: the places of lines for which an earlier line is equal or within one word edit. Earlier: by doc_id (null first), the row's key, line number."""
-    lines = line_rows(docs).withColumn("n", F.size("words")).withColumn("line_key", _line_key(F.col("words")))
-    halves = F.when(F.col("n") >= NEAR_WORDS, _halves(F.col("n"), F.col("words")))
+    lines = placed_lines(docs).select("at", F.transform(words_of(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= MIN_WORDS)
+    key = F.struct(F.xxhash64(F.lit(11), "w").alias("k1"), F.xxhash64(F.lit(7919), "w").alias("k2"))
+    lines = saved(lines.select("at", key.alias("line_key"), "n", F.when(F.col("n") >= NEAR_WORDS, _halves(F.col("n"), F.col("w"))).alias("halves")), "lines")
     # of equal lines the halves are equal, so the least of (place, halves) is the earliest place with them
-    firsts = lines.select("line_key", F.struct("at", "n", halves.alias("halves")).alias("f")).groupBy("line_key").agg(F.min("f").alias("f"))
-    firsts = saved(firsts.select("line_key", "f.*"), "lines-first")
-    keys = firsts.where(F.col("n") >= NEAR_WORDS).select("line_key", "at", F.explode("halves").alias("half"))
+    firsts = lines.where(F.col("n") >= NEAR_WORDS).groupBy("line_key").agg(F.min(F.struct("at", "halves")).alias("f"))
+    keys = saved(firsts.select(F.col("f.at").alias("at"), F.posexplode("f.halves").alias("end", "half")), "line-halves")
     shared = keys.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    able = keys.join(shared, "half").groupBy("line_key", "at").agg(F.max(F.col("half.end") == 0).alias("same_head"), F.max(F.col("half.end") == 1).alias("same_tail"))
+    able = keys.join(shared, "half").groupBy("at").agg(F.max(F.col("end") < 2).alias("same_head"), F.max(F.col("end") >= 2).alias("same_tail"))
     # numbered in the order of places, so that the earliest of a group is its least number
-    able = lines.select("line_key", "at", "line").join(able, ["line_key", "at"]).dropDuplicates(["line_key"]).orderBy("at")
+    able = placed_lines(docs).join(able, "at").dropDuplicates(["at"]).orderBy("at")
     able = saved(able.withColumn("id", F.monotonically_increasing_id()), "lines-able")
+    dropped(keys)
     w = able.select("id", "same_head", "same_tail", F.transform(words_of(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).withColumn("n", F.size("w"))
     w = w.select("id", "n", "same_head", "same_tail", _chain(F.col("w")).alias("before"), _chain(F.reverse("w")).alias("behind"))
     h = F.floor((F.col("n") - 1) / 2).cast("int")
@@ -102,9 +101,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     variants = w.select("id", front.alias("front"), F.explode(tails).alias("rear")).where("rear is not null")
     groups = variants.groupBy("front", "rear").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other < last").drop("last")
     found = variants.join(groups, ["front", "rear"]).where("other < id").groupBy("id").agg(F.min("other").alias("other"))
-    own, theirs = able.select("id", "line_key", "line"), able.select(F.col("id").alias("other"), F.col("line").alias("earlier"))
+    own, theirs = able.select("id", "at", "line"), able.select(F.col("id").alias("other"), F.col("line").alias("earlier"))
     late = found.join(own, "id").join(theirs, "other").where(within_one(words_of(F.col("line")), words_of(F.col("earlier"))))
-    first = firsts.select("line_key", F.col("at").alias("first")).join(late.select("line_key", F.lit(True).alias("late")), "line_key", "left")
+    late = late.select("at").join(lines.select("at", "line_key"), "at").select("line_key", F.lit(True).alias("late")).distinct()
+    first = lines.groupBy("line_key").agg(F.min("at").alias("first")).join(late, "line_key", "left")
     return lines.select("at", "line_key").join(first, "line_key").where("late or at <> first").select("at")
 
 
