@@ -78,9 +78,11 @@ def within_one(a: Column, b: Column) -> Column:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """at: the places of lines for which an earlier line is equal or within one word edit. Earlier: by doc_id (null first), the row's key, line number."""
-    lines = placed_lines(docs).select("at", F.transform(words_of(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= MIN_WORDS)
+    lines = placed_lines(docs).select("at", F.transform(words_of(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).withColumn("n", F.size("w"))
     key = F.struct(F.xxhash64(F.lit(11), "w").alias("k1"), F.xxhash64(F.lit(7919), "w").alias("k2"))
     lines = saved(lines.select("at", key.alias("line_key"), "n", F.when(F.col("n") >= NEAR_WORDS, _halves(F.col("n"), F.col("w"))).alias("halves")), "lines")
+    # read again before it is filtered: a filter on n pushed below would hash all words twice
+    lines = lines.where(F.col("n") >= MIN_WORDS)
     # of equal lines the halves are equal, so the least of (place, halves) is the earliest place with them
     firsts = lines.where(F.col("n") >= NEAR_WORDS).groupBy("line_key").agg(F.min(F.struct("at", "halves")).alias("f"))
     keys = saved(firsts.select(F.col("f.at").alias("at"), F.posexplode("f.halves").alias("end", "half")), "line-halves")
