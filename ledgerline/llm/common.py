@@ -28,6 +28,8 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # shuffle files of the plan just written are removed when the driver's garbage is
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
     return out

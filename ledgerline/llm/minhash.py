@@ -6,13 +6,14 @@ which each sample flips one bit, so that the population count of two bitmaps'
 XOR tells in how many samples the sets differ, most precisely where they are
 alike. Texts of equal sets form classes; only a class's smallest doc_id goes on.
 
-Representatives that share a band are candidates. In a first round each one is
-paired with the smallest of its band bucket alone, a number of pairs linear in
-the bucket. Pairs that the odd sketches don't rule out are confirmed on the
-full sets; confirmed links give components. In the second round all pairs of a
-bucket whose ends are still in different components are tried: links inside a
-component can't change it, so nothing is lost, and a large group of near copies
-is one component by then.
+Representatives that share a band are candidates. A first round pairs each one
+with the smallest of all its buckets' heads (a bucket's head is its smallest
+member), a second with a few heads that are still in other components, and the
+last with all members of its buckets that are. So the first rounds make a few
+pairs for each text, however large its buckets are, a large group of near copies
+is one component early, and links inside a component, which can't change it,
+aren't sought. Pairs that the odd sketches don't rule out are confirmed on the
+full sets, and the confirmed links give the components.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, saved, text_of
 
-#: Samples of each set; bands, and samples in a band (drawn at random, so bands share samples). At a similarity of 0.8 a pair shares no band with odds of about 1e-6.
-SAMPLES, BANDS, ROWS = 192, 56, 6
-#: Words of a sketch (64 bits each), and how far below the threshold the sketch's estimate must lie to rule out a pair: over six deviations.
-SKETCH_WORDS, MARGIN = 16, 0.2
+#: Samples of each set; bands, and samples in a band (drawn at random, so bands share samples). At a similarity of 0.8 a pair shares no band with odds of about 2e-6.
+SAMPLES, BANDS, ROWS = 256, 72, 8
+#: Words of a sketch (64 bits each), and how far below the threshold the sketch's estimate must lie to rule out a pair: over four deviations.
+SKETCH_WORDS, MARGIN = 16, 0.15
+#: Heads that a text is paired with in the second round, for each component they are in.
+HEADS = 4
 _SEED = 20_240_607
 _CHUNK = 4096
 _U64 = np.uint64
@@ -139,24 +142,16 @@ def estimate(odd_a: Column, odd_b: Column) -> Column:
     return 1 - -bits / 2 * F.log(1 - 2 * F.least(differ, F.lit(int(0.49 * bits))) / F.lit(bits)) / (2 * SAMPLES)
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
-    sketch = reps.select("doc_id", "n_shingles", "odd")
-    left, right = (sketch.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
+    left, right = (sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
     near = pairs.join(right, "b").join(left, "a")
     near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     near = saved(near.where(estimate(F.col("odd_a"), F.col("odd_b")) >= percent / 100 - MARGIN).select("a", "b"), "minhash-near")
-    if near.isEmpty():
-        return near
-    ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    # a representative's id may be on more rows; equal sets are one class, so any row of the class's set does
-    sets = saved(_sets(docs.join(ends, "doc_id", "left_semi"), size).join(reps.select("doc_id", "n_shingles"), "doc_id").where(F.size("shingles") == F.col("n_shingles")).select("doc_id", "shingles").dropDuplicates(), "minhash-sets")
     held = near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     held = held.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
-    links = saved(held.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "minhash-links")
-    dropped(sets)
-    return links
+    return saved(held.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "minhash-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -180,6 +175,14 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _apart(bucket: DataFrame, parts: DataFrame) -> DataFrame:
+    """key, a, b of a bucket's head and member with their components c_a, c_b."""
+    for x in "ab":
+        known = parts.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+        bucket = bucket.join(known, x, "left").withColumn(f"c_{x}", F.coalesce(f"c_{x}", x))
+    return bucket
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs.
 
@@ -191,26 +194,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     with a null component_id. Rows that repeat a doc_id share a component if
     their sets are equal. Other columns are ignored.
     """
-    rows = saved(_sketched(docs, size), "minhash-rows")
-    full = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = saved(full.groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("rep")), "minhash-classes")
+    sketched = saved(_sketched(docs, size), "minhash-sketched")
     member = ["sig1", "sig2", "n_shingles"]
-    reps = full.join(classes, member).where("doc_id = rep").dropDuplicates(["doc_id", *member]).select("doc_id", "n_shingles", "keys", "odd")
-    reps = saved(reps, "minhash-reps")
-    posted = reps.select("doc_id", F.posexplode("keys").alias("band", "key"))
-    heads = posted.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    bucket = saved(posted.join(heads.drop("n"), ["band", "key"]).select("band", "key", "a", F.col("doc_id").alias("b")), "minhash-buckets")
-    first = bucket.where("a < b").select("a", "b").distinct()
-    links = _confirmed(first, reps, docs, size, percent)
+    rows = saved(sketched.select("doc_id", *member), "minhash-rows")
+    full = "n_shingles > 0 and doc_id is not null"
+    classes = saved(rows.where(full).groupBy(*member).agg(F.min("doc_id").alias("rep")), "minhash-classes")
+    reps = sketched.where(full).join(classes, member).where("doc_id = rep").dropDuplicates(["doc_id", *member])
+    reps = saved(reps.select("doc_id", "n_shingles", "keys", "odd"), "minhash-reps")
+    dropped(sketched)
+    posted = reps.select(F.col("doc_id").alias("b"), F.explode("keys").alias("key"))
+    heads = posted.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a < last").select("key", "a")
+    bucket = saved(posted.join(heads.hint("merge"), "key"), "minhash-buckets")
+    met = saved(bucket.select(F.col("b").alias("doc_id")).distinct(), "minhash-met")
+    sketches = saved(reps.select("doc_id", "n_shingles", "odd").join(met, "doc_id", "left_semi"), "minhash-sketches")
+    # texts of the met ones are dealt by id, at every size by the same plan; of rows that repeat an id, those with the class's set count
+    sets = _sets(docs.join(met.hint("merge"), "doc_id", "left_semi"), size).join(sketches.select("doc_id", "n_shingles").distinct(), "doc_id")
+    sets = saved(sets.where(F.size("shingles") == F.col("n_shingles")).select("doc_id", "shingles").dropDuplicates(), "minhash-sets")
+    links = _confirmed(bucket.where("a < b").groupBy("b").agg(F.min("a").alias("a")), sketches, sets, percent)
+    parts = saved(components(links), "minhash-parts")
+    some = _apart(bucket, parts).where("a < b and c_a <> c_b").select("a", "b", "c_a").distinct()
+    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("b", "c_a").orderBy(F.xxhash64("a", "b"), "a"))).where(F.col("nth") <= HEADS)
+    links = links.union(_confirmed(some.select("a", "b"), sketches, sets, percent))
+    parts = saved(components(links), "minhash-parts")
+    inside = saved(_apart(bucket, parts).select("key", "b", F.col("c_b").alias("c")), "minhash-inside")
+    mixed = inside.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    x, y = (inside.join(mixed, "key").select("key", F.col("b").alias(n), F.col("c").alias(f"c_{n}")) for n in "ab")
+    rest = x.join(y, "key").where("a < b and c_a <> c_b").select("a", "b").distinct()
+    links = links.union(_confirmed(rest, sketches, sets, percent))
     parts = saved(components(links), "minhash-parts")
-    inside = bucket.join(parts, bucket["b"] == parts["node"], "left").select("band", "key", "b", F.coalesce("component", "b").alias("c"))
-    mixed = inside.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band", "key")
-    open_ = saved(inside.join(mixed, ["band", "key"]), "minhash-open")
-    x, y = (open_.select("band", "key", F.col("b").alias(n), F.col("c").alias(f"c_{n}")) for n in ("x", "y"))
-    rest = x.join(y, ["band", "key"]).where("x < y and c_x <> c_y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    more = _confirmed(rest.join(first, ["a", "b"], "left_anti"), reps, docs, size, percent)
-    if not more.isEmpty():
-        parts = saved(components(links.select("a", "b").union(more.select("a", "b"))), "minhash-parts")
     found = classes.join(parts, classes["rep"] == parts["node"], "left").select(*member, F.coalesce("component", "rep").alias("c"))
     out = rows.select("doc_id", *member).join(found, member, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
