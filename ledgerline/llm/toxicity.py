@@ -208,8 +208,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(m.score(m.features(b.column("text").to_pylist())), pa.float64())], names=["doc_id", "score"])
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                b = batch.slice(i, 1024)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(m.score(m.features(b.column("text").to_pylist())), pa.float64())], names=["doc_id", "score"])
 
     out = rows.mapInArrow(score, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -221,8 +223,10 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            yield b.filter(pa.array(m.score(m.features(texts)) < threshold, pa.bool_()))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                b = batch.slice(i, 1024)
+                texts = [t or "" for t in b.column("text").to_pylist()]
+                yield b.filter(pa.array(m.score(m.features(texts)) < threshold, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
