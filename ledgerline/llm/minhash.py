@@ -7,13 +7,14 @@ XOR tells in how many samples the sets differ, most precisely where they are
 alike. Texts of equal sets form classes; only a class's smallest doc_id goes on.
 
 Representatives that share a band are candidates. A first round pairs each one
-with the smallest of all its buckets' heads (a bucket's head is its smallest
-member), a second with a few heads that are still in other components, and the
+with the foremost of all its buckets' heads, a second with a few heads that are still in other components, and the
 last with all members of its buckets that are. So the first rounds make a few
 pairs for each text, however large its buckets are, a large group of near copies
 is one component early, and links inside a component, which can't change it,
 aren't sought. Pairs that the odd sketches don't rule out are confirmed on the
-full sets, and the confirmed links give the components.
+full sets, and the confirmed links give the components. A bucket's head is the
+member whose own buckets hold most others: of a group of copies, the text that
+they were made from.
 """
 
 from __future__ import annotations
@@ -203,17 +204,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reps = saved(reps.select("doc_id", "n_shingles", "keys", "odd"), "minhash-reps")
     dropped(sketched)
     posted = reps.select(F.col("doc_id").alias("b"), F.explode("keys").alias("key"))
-    heads = posted.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a < last").select("key", "a")
-    bucket = saved(posted.join(heads.hint("merge"), "key"), "minhash-buckets")
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bucket = saved(posted.join(shared.hint("merge"), "key"), "minhash-posted")
+    weighed = bucket.join(bucket.groupBy("b").agg(F.sum("n").alias("weight")), "b").select("key", "b", "weight")
+    heads = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("b")).alias("less"))).alias("head"))
+    heads = heads.select("key", (-F.col("head.less")).alias("a"), F.col("head.weight").alias("weight"))
+    bucket = saved(weighed.select("key", "b").join(heads, "key"), "minhash-buckets")
     met = saved(bucket.select(F.col("b").alias("doc_id")).distinct(), "minhash-met")
     sketches = saved(reps.select("doc_id", "n_shingles", "odd").join(met, "doc_id", "left_semi"), "minhash-sketches")
     # texts of the met ones are dealt by id, at every size by the same plan; of rows that repeat an id, those with the class's set count
     sets = _sets(docs.join(met.hint("merge"), "doc_id", "left_semi"), size).join(sketches.select("doc_id", "n_shingles").distinct(), "doc_id")
     sets = saved(sets.where(F.size("shingles") == F.col("n_shingles")).select("doc_id", "shingles").dropDuplicates(), "minhash-sets")
-    links = _confirmed(bucket.where("a < b").groupBy("b").agg(F.min("a").alias("a")), sketches, sets, percent)
+    foremost = F.max(F.struct("weight", (-F.col("a")).alias("less")))
+    first = bucket.where("a <> b").groupBy("b").agg((-foremost["less"]).alias("a"))
+    links = _confirmed(first, sketches, sets, percent)
     parts = saved(components(links), "minhash-parts")
-    some = _apart(bucket, parts).where("a < b and c_a <> c_b").select("a", "b", "c_a").distinct()
-    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("b", "c_a").orderBy(F.xxhash64("a", "b"), "a"))).where(F.col("nth") <= HEADS)
+    some = _apart(bucket, parts).where("a <> b and c_a <> c_b").select("a", "b", "c_a", "weight").distinct()
+    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("b", "c_a").orderBy(F.desc("weight"), "a"))).where(F.col("nth") <= HEADS)
     links = links.union(_confirmed(some.select("a", "b"), sketches, sets, percent))
     parts = saved(components(links), "minhash-parts")
     inside = saved(_apart(bucket, parts).select("key", "b", F.col("c_b").alias("c")), "minhash-inside")
