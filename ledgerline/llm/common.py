@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,19 +28,11 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _collect_garbage(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
     return out
 
 
-def _collect_garbage(spark: SparkSession) -> None:
-    """Shuffle files of the plan just written are removed when the driver's garbage is, once listeners have let go of it."""
-    with contextlib.suppress(Py4JError):
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5_000)
-    spark.sparkContext._jvm.System.gc()
-
-
 def dropped(df: DataFrame) -> None:
     """Deletes a table of saved() that nothing reads any more."""
     path = getattr(df, "_saved_path", None)
