@@ -19,8 +19,8 @@ they were made from.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -138,17 +138,23 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 def estimate(odd_a: Column, odd_b: Column) -> Column:
     """The similarity that two odd sketches tell."""
     bits = SKETCH_WORDS * 64
-    differ = F.aggregate(F.zip_with(odd_a, odd_b, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    # word by word, in generated code
+    differ = reduce(Column.__add__, (F.bit_count(F.get(odd_a, F.lit(k)).bitwiseXOR(F.get(odd_b, F.lit(k)))) for k in range(SKETCH_WORDS)))
     # more than 49 % of the bits differ only where hardly a sample agrees
     return 1 - -bits / 2 * F.log(1 - 2 * F.least(differ, F.lit(int(0.49 * bits))) / F.lit(bits)) / (2 * SAMPLES)
 
 
+def _may_link(percent: int) -> Column:
+    """Whether sizes and odd sketches of a and b leave a link possible."""
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return sizes & (estimate(F.col("odd_a"), F.col("odd_b")) >= percent / 100 - MARGIN)
+
+
 def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     left, right = (sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
-    near = pairs.join(right, "b").join(left, "a")
-    near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    near = saved(near.where(estimate(F.col("odd_a"), F.col("odd_b")) >= percent / 100 - MARGIN).select("a", "b"), "minhash-near")
+    near = pairs.join(right, "b").join(left, (left["a"] == pairs["a"]) & _may_link(percent)).select(pairs["a"], "b")
+    near = saved(near, "minhash-near")
     held = near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     held = held.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -225,8 +231,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     parts = saved(components(links), "minhash-parts")
     inside = saved(_apart(bucket, parts).select("key", "b", F.col("c_b").alias("c")), "minhash-inside")
     mixed = inside.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    x, y = (inside.join(mixed, "key").select("key", F.col("b").alias(n), F.col("c").alias(f"c_{n}")) for n in "ab")
-    rest = x.join(y, "key").where("a < b and c_a <> c_b").select("a", "b").distinct()
+    mixed = saved(inside.join(mixed, "key").join(sketches.withColumnRenamed("doc_id", "b"), "b"), "minhash-mixed")
+    x, y = (mixed.select("key", *(F.col(c).alias(c2) for c, c2 in (("b", n), ("c", f"c_{n}"), ("n_shingles", f"n_{n}"), ("odd", f"odd_{n}")))) for n in "ab")
+    # the sketches are compared where the ends meet, so pairs that can't link are never rows
+    rest = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _may_link(percent)).select("a", "b").distinct()
     links = links.union(_confirmed(rest, sketches, sets, percent))
     parts = saved(components(links), "minhash-parts")
     found = classes.join(parts, classes["rep"] == parts["node"], "left").select(*member, F.coalesce("component", "rep").alias("c"))
