@@ -8,6 +8,7 @@ import math
 from decimal import Decimal
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -57,7 +58,11 @@ def digest(value: object) -> str:
     return hashlib.sha256(canonicalize(value).encode("utf-8")).hexdigest()
 
 
-@F.pandas_udf("string")
-def canonical(texts: pd.Series) -> pd.Series:
+def canonical(text: Column) -> Column:
     """Canonical form of a JSON text; null for null."""
-    return texts.map(lambda t: None if t is None else canonicalize(json.loads(t)))
+
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else canonicalize(json.loads(t)))
+
+    read.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(read, "string")(text)

@@ -52,15 +52,16 @@ def verify(log: DataFrame, from_seq: int = 1, anchors: DataFrame | None = None)
     stamp = F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     made = F.sha2(F.array_join(F.array(F.col("tenant").cast("string"), F.col("seq").cast("string"), F.col("prev_hash"), F.col("payload_digest"), stamp), "|"), 256)
     inside = F.col("seq") >= from_seq
-    fault = F.when(F.col("seq") != F.col("want"), F.struct(F.lit("sequence_gap").alias("reason"), F.col("want").cast("string").alias("expected"), F.col("seq").cast("string").alias("actual")))
-    fault = fault.when(inside & (digest != F.col("payload_digest")), F.struct(F.lit("payload_digest"), digest, F.col("payload_digest")))
-    fault = fault.when(inside & (prev != F.col("prev_hash")), F.struct(F.lit("prev_hash_mismatch"), prev, F.col("prev_hash")))
-    fault = fault.when(inside & (made != F.col("hash")), F.struct(F.lit("hash"), made, F.col("hash")))
+    said = lambda reason, want, got: F.struct(F.lit(reason).alias("reason"), want.cast("string").alias("expected"), got.cast("string").alias("actual"))
+    fault = F.when(F.col("seq") != F.col("want"), said("sequence_gap", F.col("want"), F.col("seq")))
+    fault = fault.when(inside & (digest != F.col("payload_digest")), said("payload_digest", digest, F.col("payload_digest")))
+    fault = fault.when(inside & (prev != F.col("prev_hash")), said("prev_hash_mismatch", prev, F.col("prev_hash")))
+    fault = fault.when(inside & (made != F.col("hash")), said("hash", made, F.col("hash")))
     rows = rows.withColumn("fault", fault)
     if anchors is not None:
         known = anchors.where(F.col("seq") == from_seq - 1).select("tenant", "seq", F.col("hash").alias("anchored"))
         rows = rows.join(known, ["tenant", "seq"], "left")
-        broken = F.struct(F.lit("hash").alias("reason"), F.col("anchored").alias("expected"), F.col("hash").alias("actual"))
+        broken = said("hash", F.col("anchored"), F.col("hash"))
         rows = rows.withColumn("fault", F.coalesce("fault", F.when(F.col("anchored").isNotNull() & (F.col("anchored") != F.col("hash")), broken)))
     at = F.when(F.col("fault").isNotNull(), F.struct("n", F.when(F.col("fault.reason") == "sequence_gap", F.col("want")).otherwise(F.col("seq")).alias("at"), "fault"))
     out = rows.groupBy("tenant").agg(F.min(at).alias("f"), F.count_if(F.col("seq") >= from_seq).alias("n"), F.max_by("hash", "seq").alias("head"))

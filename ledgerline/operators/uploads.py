@@ -73,6 +73,11 @@ def sniff_bytes(content: bytes | None) -> tuple[str, int | None, int | None]:
         return "unknown", None, None
 
 
-@F.pandas_udf("kind string, width long, height long")
-def sniff(contents: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([sniff_bytes(c) for c in contents], columns=["kind", "width", "height"]).astype({"width": "Int64", "height": "Int64"})
+def sniff(content: Column) -> Column:
+    """kind, width and height of each object's bytes."""
+
+    def read(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sniff_bytes(c) for c in contents], columns=["kind", "width", "height"]).astype({"width": "Int64", "height": "Int64"})
+
+    read.__annotations__ = {"contents": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(read, "kind string, width long, height long")(content)
