@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import saved, text_of
 
 MARK = "▁"
 #: Words that are encoded by relations, and the most characters of such a word.
@@ -56,6 +57,10 @@ class Model:
     def table(self) -> dict[str, tuple[int, float]]:
         return {p: (i, s) for p, i, s in self.pieces}
 
+    @cached_property
+    def scores(self) -> dict[str, float]:
+        return {p: s for p, _, s in self.pieces}
+
     @cached_property
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.pieces)
@@ -186,7 +191,8 @@ class Encoder(dict):
         if found is None:
             if len(self.more) >= REMEMBERED:
                 self.more.clear()
-            found = np.array(self.fold(MARK + word), "<i4").tobytes()
+            ids = self.fold(MARK + word)
+            found = struct.pack(f"<{len(ids)}i", *ids)
             if len(word) <= LONGEST_WORD:
                 self.more[word] = found
         return found
@@ -204,18 +210,19 @@ class Encoder(dict):
 
     def _merges(self, word: str) -> list[int]:
         table, parts = self.model.table, list(word)
-        if len(parts) > 2 * LONGEST_WORD:
+        if len(parts) > 50 * LONGEST_WORD:
             parts = self._merged_long(parts)
         else:
-            while len(parts) > 1:
-                best, at = None, -1
-                for i, pair in enumerate(zip(parts, parts[1:], strict=False)):
-                    found = table.get(pair[0] + pair[1])
-                    if found is not None and (best is None or found[1] > best):
-                        best, at = found[1], i
-                if best is None:
-                    break
+            score, none = self.model.scores.get, float("-inf")
+            scores = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+            while scores and (best := max(scores)) > none:
+                at = scores.index(best)
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                del scores[at]
+                if at:
+                    scores[at - 1] = score(parts[at - 1] + parts[at], none)
+                if at < len(scores):
+                    scores[at] = score(parts[at] + parts[at + 1], none)
         return [i for p in parts for i in ((table[p][0],) if p in table else self.model.fallback(p))]
 
     def _merged_long(self, parts: list[str | None]) -> list[str]:
@@ -276,8 +283,8 @@ class Decoder:
 
 
 def _given(docs: DataFrame, model: Model) -> dict[str, bytes]:
-    rows = encode_words(frequent_words(docs), model).toLocalIterator()  # FREQUENT words at most
-    return {r["word"][1:]: np.array(r["ids"], "<i4").tobytes() for r in rows}
+    rows = saved(encode_words(frequent_words(docs), model), "words").collect()  # FREQUENT words at most
+    return {r["word"][1:]: struct.pack(f"<{len(r['ids'])}i", *r["ids"]) for r in rows}
 
 
 def encoded(docs: DataFrame, model: Model | None = None) -> DataFrame:
