@@ -34,7 +34,7 @@ from .common import saved, text_of
 
 MARK = "▁"
 #: Words that are encoded by relations, and the most characters of such a word.
-FREQUENT, LONGEST_WORD = 200_000, 40
+FREQUENT, LONGEST_WORD = 100_000, 40
 #: Words that a task remembers beside them.
 REMEMBERED = 250_000
 #: What an unknown character costs below the lowest score, in a unigram model.
@@ -283,7 +283,7 @@ class Decoder:
 
 
 def _given(docs: DataFrame, model: Model) -> dict[str, bytes]:
-    rows = saved(encode_words(frequent_words(docs), model), "words").collect()  # FREQUENT words at most
+    rows = saved(encode_words(frequent_words(docs), model), "words").toLocalIterator()  # FREQUENT words at most
     return {r["word"][1:]: struct.pack(f"<{len(r['ids'])}i", *r["ids"]) for r in rows}
 
 
