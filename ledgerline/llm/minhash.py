@@ -4,14 +4,16 @@ One Arrow pass over the texts makes, of each text's shingle set, its 128-bit
 signature, min-hash samples grouped into bands, and an odd sketch: a bitmap in
 which each sample flips one bit, so that the population count of two bitmaps'
 XOR tells in how many samples the sets differ, most precisely where they are
-alike. Texts of equal sets form classes; only a class's smallest doc_id goes on.
+alike. A second bitmap is folded from the whole set the same way; the population
+count of two such bitmaps' XOR never exceeds the number of shingles that only
+one set has, so a pair that it rules out can't be a link. Texts of equal sets form classes; only a class's smallest doc_id goes on.
 
 Representatives that share a band are candidates. A first round pairs each one
 with the foremost of all its buckets' heads, a second with a few heads that are still in other components, and the
 last with all members of its buckets that are. So the first rounds make a few
 pairs for each text, however large its buckets are, a large group of near copies
 is one component early, and links inside a component, which can't change it,
-aren't sought. Pairs that the odd sketches don't rule out are confirmed on the
+aren't sought. Pairs that the bitmaps don't rule out are confirmed on the
 full sets, and the confirmed links give the components. A bucket's head is the
 member whose own buckets hold most others: of a group of copies, the text that
 they were made from.
@@ -19,6 +21,7 @@ they were made from.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -33,6 +36,8 @@ from .common import dropped, saved, text_of
 SAMPLES, BANDS, ROWS = 256, 72, 8
 #: Words of a sketch (64 bits each), and how far below the threshold the sketch's estimate must lie to rule out a pair: over four deviations.
 SKETCH_WORDS, MARGIN = 16, 0.15
+#: Shingles up to which a set's parity bitmap rules out more than its odd sketch; in the bucket join, either is compared.
+SMALL = 1500
 #: Heads that a text is paired with in the second round, for each component they are in.
 HEADS = 4
 _SEED = 20_240_607
@@ -73,7 +78,7 @@ class Shingler:
 
 
 class Sketcher:
-    """Signature, band keys and odd sketch of a shingle set."""
+    """Signature, band keys, odd sketch and parity bitmap of a shingle set."""
 
     def __init__(self):
         rng = np.random.default_rng(_SEED)
@@ -90,7 +95,7 @@ class Sketcher:
             np.minimum(low, (x[i : i + _CHUNK, None] * self.a + self.b).min(axis=0), out=low)
         return low
 
-    def __call__(self, shingles: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    def __call__(self, shingles: np.ndarray) -> tuple[list[int], list[int], list[int], list[int]]:
         with np.errstate(over="ignore"):
             sign = [int(np.bitwise_xor.reduce(_mixed(shingles * _U64(m))).astype(np.int64)) for m in (3, 0xD1342543DE82EF95)]
             low = self.samples(shingles).astype(_U64)
@@ -100,12 +105,14 @@ class Sketcher:
             bits = _mixed(low + self.salts) % _U64(SKETCH_WORDS * 64)
         odd = np.zeros(SKETCH_WORDS, _U64)
         np.bitwise_xor.at(odd, (bits >> _U64(6)).astype(np.int64), _U64(1) << (bits & _U64(63)))
-        return sign, keys.astype(np.int64).tolist(), odd.astype(np.int64).tolist()
+        flips = np.bincount((shingles & _U64(SKETCH_WORDS * 64 - 1)).astype(np.int64), minlength=SKETCH_WORDS * 64) & 1
+        parity = np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+        return sign, keys.astype(np.int64).tolist(), odd.astype(np.int64).tolist(), parity.tolist()
 
 
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("keys", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("keys", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, make = Shingler(size), Sketcher()
@@ -113,12 +120,12 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
             out = []
             for text in batch.column("text"):
                 s = shingle(text.as_py())
-                sign, keys, odd = make(s) if len(s) else ([0, 0], None, None)
-                out.append((len(s), *sign, keys, odd))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
+                sign, *sketches = make(s) if len(s) else ([0, 0], None, None, None)
+                out.append((len(s), *sign, *sketches))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 
-    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, sig1 long, sig2 long, keys array<long>, odd array<long>")
+    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, sig1 long, sig2 long, keys array<long>, odd array<long>, parity array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -135,24 +142,45 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(full, "doc_id long, shingles array<long>")
 
 
+def differing(a: Column, b: Column) -> Column:
+    """The population count of two bitmaps' XOR, word by word, in generated code."""
+    return reduce(Column.__add__, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(SKETCH_WORDS)))
+
+
 def estimate(odd_a: Column, odd_b: Column) -> Column:
     """The similarity that two odd sketches tell."""
     bits = SKETCH_WORDS * 64
-    # word by word, in generated code
-    differ = reduce(Column.__add__, (F.bit_count(F.get(odd_a, F.lit(k)).bitwiseXOR(F.get(odd_b, F.lit(k)))) for k in range(SKETCH_WORDS)))
+    differ = differing(odd_a, odd_b)
     # more than 49 % of the bits differ only where hardly a sample agrees
     return 1 - -bits / 2 * F.log(1 - 2 * F.least(differ, F.lit(int(0.49 * bits))) / F.lit(bits)) / (2 * SAMPLES)
 
 
+def _sizes_fit(percent: int) -> Column:
+    return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+
+
+def _most_apart(percent: int) -> Column:
+    """In how many shingles a link's sets differ at most; their parity bitmaps differ in no more bits."""
+    return F.floor((100 - percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+
+
+def _marks_fit(percent: int) -> Column:
+    """Whether the marks of a and b leave a link possible: parity bitmaps of two small sets, odd sketches of two others; a small and a larger set aren't compared."""
+    bits = SKETCH_WORDS * 64
+    odd = int(bits / 2 * (1 - math.exp(-4 * SAMPLES * (1 - percent / 100 + MARGIN) / bits))) + 1
+    most = F.when((F.col("n_a") <= SMALL) & (F.col("n_b") <= SMALL), _most_apart(percent)).when((F.col("n_a") > SMALL) & (F.col("n_b") > SMALL), odd).otherwise(bits)
+    return differing(F.col("mark_a"), F.col("mark_b")) <= most
+
+
 def _may_link(percent: int) -> Column:
-    """Whether sizes and odd sketches of a and b leave a link possible."""
-    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return sizes & (estimate(F.col("odd_a"), F.col("odd_b")) >= percent / 100 - MARGIN)
+    """Whether sizes, parity bitmaps and odd sketches of a and b leave a link possible."""
+    bits = differing(F.col("parity_a"), F.col("parity_b")) <= _most_apart(percent)
+    return _sizes_fit(percent) & bits & (estimate(F.col("odd_a"), F.col("odd_b")) >= percent / 100 - MARGIN)
 
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
-    left, right = (sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
+    left, right = (sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
     near = pairs.join(right, "b").join(left, (left["a"] == pairs["a"]) & _may_link(percent)).select(pairs["a"], "b")
     near = saved(near, "minhash-near")
     held = near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -207,7 +235,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     full = "n_shingles > 0 and doc_id is not null"
     classes = saved(rows.where(full).groupBy(*member).agg(F.min("doc_id").alias("rep")), "minhash-classes")
     reps = sketched.where(full).join(classes, member).where("doc_id = rep").dropDuplicates(["doc_id", *member])
-    reps = saved(reps.select("doc_id", "n_shingles", "keys", "odd"), "minhash-reps")
+    reps = saved(reps.select("doc_id", "n_shingles", "keys", "odd", "parity"), "minhash-reps")
     dropped(sketched)
     posted = reps.select(F.col("doc_id").alias("b"), F.explode("keys").alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -217,7 +245,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     heads = heads.select("key", (-F.col("head.less")).alias("a"), F.col("head.weight").alias("weight"))
     bucket = saved(weighed.select("key", "b").join(heads, "key"), "minhash-buckets")
     met = saved(bucket.select(F.col("b").alias("doc_id")).distinct(), "minhash-met")
-    sketches = saved(reps.select("doc_id", "n_shingles", "odd").join(met, "doc_id", "left_semi"), "minhash-sketches")
+    sketches = saved(reps.select("doc_id", "n_shingles", "odd", "parity").join(met, "doc_id", "left_semi"), "minhash-sketches")
     # texts of the met ones are dealt by id, at every size by the same plan; of rows that repeat an id, those with the class's set count
     sets = _sets(docs.join(met.hint("merge"), "doc_id", "left_semi"), size).join(sketches.select("doc_id", "n_shingles").distinct(), "doc_id")
     sets = saved(sets.where(F.size("shingles") == F.col("n_shingles")).select("doc_id", "shingles").dropDuplicates(), "minhash-sets")
@@ -231,10 +259,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     parts = saved(components(links), "minhash-parts")
     inside = saved(_apart(bucket, parts).select("key", "b", F.col("c_b").alias("c")), "minhash-inside")
     mixed = inside.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    mixed = saved(inside.join(mixed, "key").join(sketches.withColumnRenamed("doc_id", "b"), "b"), "minhash-mixed")
-    x, y = (mixed.select("key", *(F.col(c).alias(c2) for c, c2 in (("b", n), ("c", f"c_{n}"), ("n_shingles", f"n_{n}"), ("odd", f"odd_{n}")))) for n in "ab")
-    # the sketches are compared where the ends meet, so pairs that can't link are never rows
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _may_link(percent)).select("a", "b").distinct()
+    marks = sketches.select(F.col("doc_id").alias("b"), "n_shingles", F.when(F.col("n_shingles") <= SMALL, F.col("parity")).otherwise(F.col("odd")).alias("mark"))
+    mixed = saved(inside.join(mixed, "key").join(marks, "b"), "minhash-mixed")
+    x, y = (mixed.select("key", *(F.col(c).alias(c2) for c, c2 in (("b", n), ("c", f"c_{n}"), ("n_shingles", f"n_{n}"), ("mark", f"mark_{n}")))) for n in "ab")
+    # the bitmaps are compared where the ends meet, so pairs that can't link are hardly ever rows
+    rest = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _sizes_fit(percent) & _marks_fit(percent)).select("a", "b").distinct()
     links = links.union(_confirmed(rest, sketches, sets, percent))
     parts = saved(components(links), "minhash-parts")
     found = classes.join(parts, classes["rep"] == parts["node"], "left").select(*member, F.coalesce("component", "rep").alias("c"))

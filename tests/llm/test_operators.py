@@ -109,6 +109,25 @@ def test_odd_sketch_estimates(spark):
         assert abs(rows.select(minhash.estimate(F.col("a"), F.col("b"))).first()[0] - share) < 0.12
 
 
+def test_bitmaps_rule_out_no_link(spark):
+    make, np = minhash.Sketcher(), minhash.np
+    rng = np.random.default_rng(5)
+    for n, percent in ((9, 80), (147, 80), (1500, 80), (4000, 80), (40, 50)):
+        shared = rng.integers(0, 1 << 63, n, np.uint64)
+        own = rng.integers(0, 1 << 63, (2, n * (100 - percent) // (2 * percent)), np.uint64)  # as many as a link allows
+        rows = []
+        for x, extra in zip("ab", own, strict=True):
+            s = np.unique(np.concatenate([shared, extra]))
+            _, _, odd, parity = make(s)
+            rows.append((len(s), odd, parity, parity if len(s) <= minhash.SMALL else odd))
+        names = [f"{c}_{x}" for x in "ab" for c in ("n", "odd", "parity", "mark")]
+        df = spark.createDataFrame([(*rows[0], *rows[1])], ", ".join(f"{c} {'long' if c[0] == 'n' else 'array<long>'}" for c in names))
+        if (n, percent) != (40, 50):  # odd sketches tell high similarities only
+            assert df.select(minhash._may_link(percent)).first()[0]
+        assert df.select(minhash._sizes_fit(percent) & minhash._marks_fit(percent)).first()[0]
+        assert df.select(minhash.differing(F.col("parity_a"), F.col("parity_b")) <= 2 * own.shape[1]).first()[0]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)]
