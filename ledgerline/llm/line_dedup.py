@@ -106,8 +106,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     own, theirs = able.select("id", "at", "line"), able.select(F.col("id").alias("other"), F.col("line").alias("earlier"))
     late = found.join(own, "id").join(theirs, "other").where(within_one(words_of(F.col("line")), words_of(F.col("earlier"))))
     late = late.select("at").join(lines.select("at", "line_key"), "at").select("line_key", F.lit(True).alias("late")).distinct()
-    first = lines.groupBy("line_key").agg(F.min("at").alias("first")).join(late, "line_key", "left")
-    return lines.select("at", "line_key").join(first, "line_key").where("late or at <> first").select("at")
+    first = lines.groupBy("line_key").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c")).join(late, "line_key", "left").where("c > 1 or late")
+    # written, so that the join deals it anew and a hot line's places can be split over tasks
+    first = saved(first.select("line_key", "first", "late"), "lines-repeated")
+    return lines.select("at", "line_key").join(first.hint("merge"), "line_key").where("late or at <> first").select("at")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
