@@ -20,6 +20,8 @@ edits in the other half.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,10 @@ _BLANKS = " \t\r\x0b\f"
 
 
 def words_of(line: Column) -> Column:
-    """The words of a line; one empty word if it has none."""
-    return F.split(F.btrim(line, F.lit(_BLANKS)), r"[ \t\r\x0B\f]+")
+    """The words of a line; one empty word if it has none. Single blanks between words, as most lines have, need no pattern."""
+    others = [F.contains(line, F.lit(x)) for x in ("  ", *_BLANKS[1:])]
+    odd = reduce(Column.__or__, others, F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")))
+    return F.when(odd, F.split(F.btrim(line, F.lit(_BLANKS)), r"[ \t\r\x0B\f]+")).otherwise(F.split(line, " "))
 
 
 def placed_lines(docs: DataFrame) -> DataFrame:

@@ -335,3 +335,11 @@ def test_against_sql(spark, name):
 def test_pipeline(spark):
     out = queries()["pipeline"](spark, SF)
     assert 100 < out.count() < 200 and out.where("n_tokens <> size(ids)").isEmpty()
+
+
+def test_words_of_any_blanks(spark):
+    lines = ["", " ", "a", "a b", " a b", "a b ", "a  b", "a\tb c", "a\rb", "a \x0b b", "\f", "a b c", "\ta b\t", "é  ü ", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", line_dedup.words_of(F.col("x")).alias("w")).collect()
+    for r in rows:
+        x = lines[r.i]
+        assert r.w == (None if x is None else re.findall(r"[^ \t\r\v\f]+", x) or [""])
