@@ -80,11 +80,18 @@ def within_one(a: Column, b: Column) -> Column:
     return (most - less <= 1) & (F.least(less, head(a, b) + head(F.reverse(a), F.reverse(b))) >= most - 1)
 
 
+def _hashes(line: Column) -> Column:
+    return F.transform(words_of(line), lambda x: F.xxhash64(x))
+
+
+def _line_key(hashes: Column) -> Column:
+    return F.struct(F.xxhash64(F.lit(11), hashes).alias("k1"), F.xxhash64(F.lit(7919), hashes).alias("k2"))
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """at: the places of lines for which an earlier line is equal or within one word edit. Earlier: by doc_id (null first), the row's key, line number."""
-    lines = placed_lines(docs).select("at", F.transform(words_of(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).withColumn("n", F.size("w"))
-    key = F.struct(F.xxhash64(F.lit(11), "w").alias("k1"), F.xxhash64(F.lit(7919), "w").alias("k2"))
-    lines = saved(lines.select("at", key.alias("line_key"), "n", F.when(F.col("n") >= NEAR_WORDS, _halves(F.col("n"), F.col("w"))).alias("halves")), "lines")
+    lines = placed_lines(docs).select("at", _hashes(F.col("line")).alias("w")).withColumn("n", F.size("w"))
+    lines = saved(lines.select("at", _line_key(F.col("w")).alias("line_key"), "n", F.when(F.col("n") >= NEAR_WORDS, _halves(F.col("n"), F.col("w"))).alias("halves")), "lines")
     # read again before it is filtered: a filter on n pushed below would hash all words twice
     lines = lines.where(F.col("n") >= MIN_WORDS)
     # of equal lines the halves are equal, so the least of (place, halves) is the earliest place with them
@@ -96,7 +103,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     able = placed_lines(docs).join(able, "at").dropDuplicates(["at"]).orderBy("at")
     able = saved(able.withColumn("id", F.monotonically_increasing_id()), "lines-able")
     dropped(keys)
-    w = able.select("id", "same_head", "same_tail", F.transform(words_of(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).withColumn("n", F.size("w"))
+    w = able.select("id", "same_head", "same_tail", _hashes(F.col("line")).alias("w")).withColumn("n", F.size("w"))
     w = w.select("id", "n", "same_head", "same_tail", _chain(F.col("w")).alias("before"), _chain(F.reverse("w")).alias("behind"))
     h = F.floor((F.col("n") - 1) / 2).cast("int")
     # gap g lies behind the first g words; without word g + 1, the words behind the gap are one fewer
@@ -109,7 +116,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     found = variants.join(groups, ["front", "rear"]).where("other < id").groupBy("id").agg(F.min("other").alias("other"))
     own, theirs = able.select("id", "at", "line"), able.select(F.col("id").alias("other"), F.col("line").alias("earlier"))
     late = found.join(own, "id").join(theirs, "other").where(within_one(words_of(F.col("line")), words_of(F.col("earlier"))))
-    late = late.select("at").join(lines.select("at", "line_key"), "at").select("line_key", F.lit(True).alias("late")).distinct()
+    late = late.select(_line_key(_hashes(F.col("line"))).alias("line_key"), F.lit(True).alias("late")).distinct()
     first = lines.groupBy("line_key").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c")).join(late, "line_key", "left").where("c > 1 or late")
     # written, so that the join deals it anew and a hot line's places can be split over tasks
     first = saved(first.select("line_key", "first", "late"), "lines-repeated")
