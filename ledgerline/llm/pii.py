@@ -33,6 +33,8 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Madame", "Señora", "Г-
 NEUTRAL = ("Dr", "Prof")
 _TITLES = "|".join((*MALE, *FEMALE, *NEUTRAL))
 _TITLE = rf"^(?:{_TITLES})\.? "
+#: What stands before a password or key: a key word in any case, then = or : with blanks and quotes around it.
+_KEY = r"(?i:password|passwd|api[_-]?key|secret|token)[\"']?[ \t]{0,8}+(?::=|=>|==|[=:])[ \t]{0,8}+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: One pattern per kind; lookarounds and bounded, possessive runs keep the scan linear in long words.
 PATTERNS = {
@@ -41,9 +43,10 @@ PATTERNS = {
     "card": r"(?<![\w.+-])\d{4}(?:[ -]?\d{4}){3}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=(?:password|passwd|api_key|secret|token)=)[^\s\"']{4,128}",
+    "secret": rf"(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|{_KEY}(?:\"[^\"\r\n]{{4,}}+(?=\")|'[^'\r\n]{{4,}}+(?=')|[\"']?(?![=:])[^\s\"']{{4,}}+)",
     "name": rf"(?<![\p{{L}}-])(?:{_TITLES})\.? \p{{Lu}}\p{{L}}{{1,30}}(?:[ -]\p{{Lu}}\p{{L}}{{1,30}}){{0,2}}",
 }
+_BEFORE = rf"^{_KEY}[\"']?"
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Syllables and endings that surrogate names are built of, by script. A surname's second ending is feminine.
 SCRIPTS = {
@@ -61,7 +64,12 @@ def _any(values: tuple[str, ...]) -> str:
 def _kind(e: Column) -> Column:
     found = F.when(e.rlike(_TITLE + r"\p{Lu}"), "name").when(e.rlike(f"^(?:{PATTERNS['email']})$"), "email").when(e.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
     found = found.when(e.rlike(r"^\d{4}(?:[ -]?\d{4}){3}$"), "card").when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-    return found.when(e.rlike(r"^[+(\d][\d ().+-]+$") & ~e.rlike(r"^\d+$"), "phone").otherwise("secret")
+    found = found.when(e.rlike(r"^[+(\d][\d ().+-]+$") & ~e.rlike(r"^\d+$"), "phone").otherwise("secret")
+    # behind a key word, a value that is another kind as a whole keeps that kind
+    value, behind = F.regexp_replace(e, _BEFORE, ""), F.lit("secret")
+    for kind in ("phone", "ssn", "card", "ip", "email"):
+        behind = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(behind)
+    return F.when(e.rlike(_BEFORE), behind).otherwise(found)
 
 
 def _script(word: Column) -> Column:
@@ -69,10 +77,11 @@ def _script(word: Column) -> Column:
 
 
 def slots_of(e: Column) -> Column:
-    """What is replaced in an entity, each with the text before it: all of it, or the words of a name."""
+    """What is replaced in an entity, each with the text before it: all of it, what stands behind a key word, or the words of a name."""
     kind = _kind(e)
-    canon = F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(e, r"\D", "")).when(kind == "email", F.lower(e)).otherwise(e)
-    whole = F.array(F.struct(kind.alias("kind"), canon.alias("canon"), F.lit("").alias("prefix"), e.alias("shown")))
+    value = F.regexp_replace(e, _BEFORE, "")
+    canon = F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(value, r"\D", "")).when((kind == "email") | value.rlike("^[0-9A-F]+$"), F.lower(value)).otherwise(value)
+    whole = F.array(F.struct(kind.alias("kind"), canon.alias("canon"), F.regexp_extract(e, _BEFORE, 0).alias("prefix"), value.alias("shown")))
     gender = F.when(e.rlike(_any(MALE)), "m").when(e.rlike(_any(FEMALE)), "f").otherwise("u")
     title = F.regexp_extract(e, _TITLE, 0)
     rest = F.regexp_replace(e, _TITLE, "")
@@ -116,6 +125,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         keep = ((kind == "email") & (i + 1 > dot)) | ((kind == "secret") & canon.startswith("AKIA") & (i < 4)) | (kind.isin("card", "phone") & (i == 0))
         digit = F.when((kind == "ssn") & (i == 0), 1 + b % 8).when((kind == "phone") & (i == 1), 2 + b % 8).otherwise(b % 10).cast("string")
         new = F.when(keep, c).when(hexes, F.substr(F.lit("0123456789abcdef"), b % 16 + 1, F.lit(1)))
+        new = new.when((kind == "secret") & c.rlike(r"[^\x00-\x7F]"), F.char(97 + b % 26))
         return new.when(c.rlike(r"^\d$"), digit).when(c.rlike("^[a-z]$"), F.char(97 + b % 26)).when(c.rlike("^[A-Z]$"), F.char(65 + b % 26)).otherwise(c)
 
     same = F.array_join(F.transform(_chars(canon), drawn), "")
@@ -124,7 +134,9 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     body = F.substr(same, F.lit(1), F.length(same) - 1)
     check = (10 - _luhn(_chars(F.concat(body, F.lit("0"))))) % 10
     card = F.when(_luhn(_chars(canon)) == 0, F.concat(body, check.cast("string"))).otherwise(same)
-    out = F.when(kind == "ip", ip).when(kind == "card", card)
+    # a secret of few letters and digits has few surrogates of its length: later attempts are longer
+    longer = F.concat(same, F.substr(h, F.lit(1), F.greatest(attempt - 2, F.lit(0))))
+    out = F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "secret", longer)
     for script, (syllables, male, female, sons, daughters) in SCRIPTS.items():
         pick = lambda words, i: F.get(F.array(*map(F.lit, words)), _byte(h, F.lit(i) if isinstance(i, int) else i) % len(words))  # noqa: E731, B023
         stem = F.array_join(F.transform(F.sequence(F.lit(1), 2 + attempt), lambda i: pick(syllables, i)), "")  # noqa: B023
@@ -161,7 +173,7 @@ def _shown(shown: Column, canon: Column, new: Column) -> Column:
         lambda acc: acc["s"],
     )
     cased = F.array_join(F.transform(drawn, lambda c, i: F.when(F.upper(F.get(letters, i)) != F.lower(F.get(letters, i)), F.when(F.get(letters, i) == F.upper(F.get(letters, i)), F.upper(c)).otherwise(F.lower(c))).otherwise(c)), "")
-    return F.when(shown == canon, new).when(F.length(shown) != F.length(canon), spaced).when(shown.rlike(r"^[\d+]"), spaced).otherwise(cased)
+    return F.when(shown == canon, new).when(shown.rlike("^[0-9A-F]+$"), F.upper(new)).when(F.length(shown) != F.length(canon), spaced).when(shown.rlike(r"^[\d+]"), spaced).otherwise(cased)
 
 
 def _name_shown(shown: Column, new: Column) -> Column:

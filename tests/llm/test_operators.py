@@ -281,6 +281,23 @@ def test_pii(spark):
     assert [r.surrogate for r in sorted(pii.mapping(crowd, "other").collect())] != [r.surrogate for r in sorted(found)]
 
 
+def test_pii_secrets_as_documents_hold_them(spark):
+    key, jwt = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "eyJ" + "aB3_" * 90 + "TAIL"
+    rows = [
+        f'the token = "{key}" with.', f'A,!! TOKEN = "{key.upper()}"!! HEI', f"token={key}", f"Password: {jwt} end", '{"api_key": "Corr3ct horse", "x": 1}', "secret = 'пароль1'",
+        "password=**** passwd=***7", "token=a.b9@mail5.example.com", "a.b9@mail5.example.com", "a token of thanks, a secret", "token::Value",
+    ]
+    out = by_id(pii.with_surrogates(frame(spark, rows)))
+    assert [out[i].n_entities for i in range(len(rows))] == [1, 1, 1, 1, 1, 1, 2, 1, 1, 0, 0]
+    new = re.fullmatch(r'the token = "([0-9a-f]{40})" with\.', out[0].text)[1]
+    assert new != key and out[1].text == f'A,!! TOKEN = "{new.upper()}"!! HEI' and out[2].text == f"token={new}"
+    assert re.fullmatch(r"Password: \S{367} end", out[3].text) and "TAIL" not in out[3].text and "aB3" not in out[3].text
+    assert re.fullmatch(r'\{"api_key": "[A-Z][a-z]{3}\d[a-z]{2} [a-z]{5}", "x": 1\}', out[4].text) and "horse" not in out[4].text
+    assert re.fullmatch(r"secret = '[a-z]{6}\d'", out[5].text) and "***7" not in out[6].text
+    assert out[7].text == f"token={out[8].text}" and out[8].text != rows[8]
+    assert [out[9].text, out[10].text] == rows[9:]
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     rows = []
