@@ -20,8 +20,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one; a document that so loses all its words goes."""
-    out = line_dedup.dedup_lines(docs).where(~F.col("emptied")).select(*docs.columns)
+    """Documents without lines, of any number of words, that repeat an earlier one; a document that so loses all its words goes."""
+    out = line_dedup.dedup_lines(docs, min_words=1).where(~F.col("emptied")).select(*docs.columns)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
 
 

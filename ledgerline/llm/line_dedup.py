@@ -88,12 +88,14 @@ def _line_key(hashes: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(11), hashes).alias("k1"), F.xxhash64(F.lit(7919), hashes).alias("k2"))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """at: the places of lines for which an earlier line is equal or within one word edit. Earlier: by doc_id (null first), the row's key, line number."""
     lines = placed_lines(docs).select("at", _hashes(F.col("line")).alias("w")).withColumn("n", F.size("w"))
     lines = saved(lines.select("at", _line_key(F.col("w")).alias("line_key"), "n", F.when(F.col("n") >= NEAR_WORDS, _halves(F.col("n"), F.col("w"))).alias("halves")), "lines")
     # read again before it is filtered: a filter on n pushed below would hash all words twice
-    lines = lines.where(F.col("n") >= MIN_WORDS)
+    lines = lines.where(F.col("n") >= min_words)
+    if min_words < 2:  # a blank line has one empty word
+        lines = lines.where(F.col("line_key") != _line_key(F.array(F.xxhash64(F.lit("")))))
     # of equal lines the halves are equal, so the least of (place, halves) is the earliest place with them
     firsts = lines.where(F.col("n") >= NEAR_WORDS).groupBy("line_key").agg(F.min(F.struct("at", "halves")).alias("f"))
     keys = saved(firsts.select(F.col("f.at").alias("at"), F.posexplode("f.halves").alias("end", "half")), "line-halves")
@@ -123,19 +125,19 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return lines.select("at", "line_key").join(first.hint("merge"), "line_key").where("late or at <> first").select("at")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with its columns, text without the lines that repeat an earlier one, and n_lines, n_dropped, emptied.
 
     A line repeats an earlier one of any document that is equal or differs by
     one word inserted, deleted or substituted, whether or not that earlier line
-    stays itself. Words are split at blanks. Lines under MIN_WORDS words always
-    stay; lines under NEAR_WORDS words go as exact repeats only. emptied marks
+    stays itself. Words are split at blanks. Lines under min_words words and
+    blank ones always stay; lines under NEAR_WORDS words go as exact repeats only. emptied marks
     rows that lost a line and keep no word. Null and empty texts have nothing
     to lose and come back as they are. Identical rows share one decision.
     Columns of other names, including n_lines, n_dropped or emptied, come back
     too, the last three replaced.
     """
-    gone = repeated_lines(docs).groupBy("at.r", "at.doc_id").agg(F.collect_set("at.line_no").alias("gone"))
+    gone = repeated_lines(docs, min_words).groupBy("at.r", "at.doc_id").agg(F.collect_set("at.line_no").alias("gone"))
     rows = docs.select(_row_key(docs).alias("r"), packed(docs)).alias("d")
     rows = rows.join(gone.alias("g"), (F.col("d.r") == F.col("g.r")) & F.col("own.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
     text = F.col("own.text").cast("string")

@@ -354,6 +354,16 @@ def test_pipeline(spark):
     assert 100 < out.count() < 200 and out.where("n_tokens <> size(ids)").isEmpty()
 
 
+def test_pipeline_leaves_no_stub_of_a_copy(spark):
+    import corpus_pipeline
+
+    long = "one line of more than five words\n\nHaanth.\n \nLes."
+    t = [long, long, "another line of quite some words here\n\nLes.", "Les.", None, "", "\n\n", " \n", "\n\n"]
+    rows = [(i, x, None) for i, x in enumerate(t)]
+    out = by_id(corpus_pipeline.lines_once(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), ""))
+    assert {i: r.text for i, r in out.items()} == {0: long, 2: "another line of quite some words here\n", 4: None, 5: "", 6: "\n\n", 7: " \n", 8: "\n\n"}
+
+
 def test_words_of_any_blanks(spark):
     lines = ["", " ", "a", "a b", " a b", "a b ", "a  b", "a\tb c", "a\rb", "a \x0b b", "\f", "a b c", "\ta b\t", "é  ü ", None]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", line_dedup.words_of(F.col("x")).alias("w")).collect()
