@@ -1,65 +1,82 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 A text is cut into words where the model lets no piece cross: before each run
-of its word mark. For the most frequent words of the corpus, counted over all
-documents, the lattice is built by relations: substrings up to the longest
-piece's length are exploded and equi-joined to the piece table, and the edges
-are grouped by word. Spark's higher-order aggregate folds each word's lattice
-to its pieces: by Viterbi (best sum of scores) for a unigram model, and for a
-BPE model, whose scores are merge ranks and not costs of a path, in merge
-order, since the best path is not what such a model encodes.
-
-The encoded words, a number that is bounded by a parameter, go to all tasks,
-which encode whole texts word by word in one Arrow pass. A word that is not
-among them is folded where it is met, over the same edges and in the same
-order, so every word is encoded and texts are never shuffled.
+of its word mark, and before line feeds if no piece holds one. Every distinct
+word of the corpus is encoded by relations: its substrings up to the longest
+piece's length are exploded and equi-joined to the piece table, the edges are
+grouped by word, and Spark's higher-order aggregate folds them to pieces.
+
+For a unigram model the fold is Viterbi's: the best sum of scores into each
+place. For a BPE model scores are ranks of merges and not costs of a path, so
+the best path is not what such a model encodes. There the state of the fold is
+the set of places where pieces end, and edges come in the order of their ranks
+and places: an edge whose ends are in the set, with one other between them,
+joins two pieces and takes that one out. One pass is exact where every piece is
+put together from better ranked ones, which is tested for each piece of the
+model; words with a piece that is not are folded by repeated passes.
+
+Words reach the texts in blocks. A block is a number of bytes of the input's
+files. An Arrow pass gives each block's distinct words, the words of all blocks
+are dealt by word, made distinct, encoded and joined to the blocks again, and
+each block's dictionary is written to the shared folder. A second Arrow pass
+over the texts reads the dictionary of its block and puts the pieces of its
+words in a row, column by column. So neither texts nor the places of words are
+shuffled, and a dictionary is bounded by the bytes of a block and not by the
+corpus. Rows that do not come straight from files are written to such first.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
-import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, text_of
+from .common import saved, shared_dir, text_of
 
 MARK = "▁"
-#: Words that are encoded by relations, and the most characters of such a word.
-FREQUENT, LONGEST_WORD = 100_000, 40
-#: Words that a task remembers beside them.
-REMEMBERED = 250_000
+#: Bytes of input files that share a dictionary.
+BLOCK_BYTES = 128 << 20
+#: Characters of the longest word that is encoded by relations, and of those whose fold keeps its places in the bits of one number.
+LONGEST_WORD, BITS = 4096, 62
+#: Bytes of text that a task encodes at once, and words that it gathers before it sends them on.
+SLICE_BYTES, GATHERED = 16 << 20, 1_500_000
 #: What an unknown character costs below the lowest score, in a unigram model.
 UNKNOWN_PENALTY = 10.0
-_CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-_NORMAL, _USER, _BYTE = 1, 4, 6
+_CUT = "\x1f"
+_NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
 
 @dataclass(frozen=True)
 class Model:
-    """Pieces of a model: (text, id, score); ids of the 256 byte pieces, or none; the unknown id."""
+    """Pieces of a model: (text, id, score); ids of the 256 byte pieces, or none; the unknown id; what each id decodes to."""
 
     unigram: bool
     pieces: tuple[tuple[str, int, float], ...]
     bytes_: tuple[int, ...]
     unknown: int
-    names: tuple[str, ...]
+    spelled: tuple[bytes, ...]
 
     @cached_property
     def table(self) -> dict[str, tuple[int, float]]:
         return {p: (i, s) for p, i, s in self.pieces}
 
     @cached_property
-    def scores(self) -> dict[str, float]:
-        return {p: s for p, _, s in self.pieces}
+    def ranks(self) -> dict[str, int]:
+        """Places of the pieces in the order of merging; pieces of equal scores share one."""
+        order = {s: k for k, s in enumerate(sorted({s for _, _, s in self.pieces}, reverse=True))}
+        return {p: order[s] for p, _, s in self.pieces}
 
     @cached_property
     def longest(self) -> int:
@@ -69,6 +86,15 @@ class Model:
     def lowest(self) -> float:
         return min(s for _, _, s in self.pieces) - UNKNOWN_PENALTY
 
+    @cached_property
+    def line_ends_words(self) -> bool:
+        return not any("\n" in p for p, _, _ in self.pieces)
+
+    @cached_property
+    def late(self) -> frozenset[int]:
+        """Ids of pieces that merging makes of their own text, but one pass over the edges in order does not."""
+        return frozenset(i for p, i, _ in self.pieces if len(p) > 1 and one_pass(p, self.ranks) != [p] and Folder(self).merged(p) == [p])
+
     def fallback(self, char: str) -> list[int]:
         """Ids of text that is no piece: its bytes, or the unknown piece."""
         return [self.bytes_[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes_ else [self.unknown]
@@ -95,26 +121,50 @@ def of_proto(proto) -> Model:
     if any(MARK in p.piece.lstrip(MARK) for p in proto.pieces):
         raise ValueError("a piece crosses words")
     pieces = tuple((p.piece, i, p.score) for i, p in enumerate(proto.pieces) if p.type in (_NORMAL, _USER))
+    if len(proto.pieces) > _ID or max(len(p) for p, _, _ in pieces) > _LEN:
+        raise ValueError("more or longer pieces than an edge can hold")
     bytes_ = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
-    unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
-    return Model(proto.trainer_spec.model_type == 1, pieces, tuple(bytes_[b] for b in range(256)) if len(bytes_) == 256 else (), unknown, tuple(p.piece for p in proto.pieces))
+    unknown = next(i for i, p in enumerate(proto.pieces) if p.type == _UNKNOWN)
+    own = {_CONTROL: lambda _: b"", _UNKNOWN: lambda _: " ⁇ ".encode(), _BYTE: lambda p: bytes([int(p[3:5], 16)])}
+    spelled = tuple(own.get(p.type, lambda p: p.replace(MARK, " ").encode())(p.piece) for p in proto.pieces)
+    return Model(proto.trainer_spec.model_type == 1, pieces, tuple(bytes_[b] for b in range(256)) if len(bytes_) == 256 else (), unknown, spelled)
+
+
+def one_pass(word: str, ranks: dict[str, int]) -> list[str]:
+    """What one pass over a word's edges, in the order of ranks and places, makes of it."""
+    ends = set(range(len(word) + 1))
+    edges = sorted((ranks[word[s:e]], s, e) for s in range(len(word)) for e in range(s + 2, len(word) + 1) if word[s:e] in ranks)
+    for _, s, e in edges:
+        inner = ends.intersection(range(s + 1, e))
+        if s in ends and e in ends and len(inner) == 1:
+            ends -= inner
+    at = sorted(ends)
+    return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
+
 
+#: An edge's rank, start, length and id in one number, for an order by rank and start: most values of the last three.
+_START, _LEN, _ID = (1 << 14) - 1, (1 << 10) - 1, (1 << 19) - 1
+_S, _L, _I = f"cast(shiftright(e, 29) & {_START} as int)", f"cast(shiftright(e, 19) & {_LEN} as int)", f"cast(e & {_ID} as int)"
 
-def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    return spark.createDataFrame([(p, i, float(s)) for p, i, s in model.pieces], "piece string, id int, score double")
+
+def substrings(words: DataFrame, longest: int) -> DataFrame:
+    """word, n, start, len, piece: every substring of each distinct word up to that length, and one of no length."""
+    starts = words.select("word", F.length("word").alias("n")).withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    lens = F.sequence(F.when(F.col("start") == 0, 0).otherwise(1), F.least(F.lit(longest), F.col("n") - F.col("start")))
+    return starts.withColumn("len", F.explode(lens)).withColumn("piece", F.substr("word", F.col("start") + 1, F.col("len")))
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """word, chars, edges (start, len, id, score): every piece at every place of each distinct word."""
-    rows = words.select("word", F.filter(F.split("word", ""), lambda c: c != "").alias("chars"))
-    starts = rows.select("word", "chars", F.explode(F.sequence(F.lit(1), F.size("chars"))).alias("start"))
-    lens = F.sequence(F.lit(1), F.least(F.lit(model.longest), F.size("chars") - F.col("start") + 1))
-    subs = starts.select("word", "chars", "start", F.explode(lens).alias("len")).withColumn("piece", F.substr("word", F.col("start"), F.col("len")))
-    pieces = piece_table(words.sparkSession, model)
+    """word, n (characters), edges: every piece at every place of each distinct word. Edges of a BPE model are packed and in the order of merging, those of a unigram model are structs."""
+    spark = words.sparkSession
+    # no substring is empty but the one that each word has, so that no word is without an edge
+    rows = [("", len(model.pieces), 0, 0.0), *((p, model.ranks[p], i, float(s)) for p, i, s in model.pieces)]
+    pieces = spark.createDataFrame(rows, "piece string, rank long, id int, score double")
     # a model's pieces: the vocabulary's fixed size
-    edges = subs.join(F.broadcast(pieces), "piece")
-    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("start", "len", "id", "score"))).alias("edges"))
-    return rows.join(grouped, "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast(grouped.schema["edges"].dataType)))
+    found = substrings(words, model.longest).join(F.broadcast(pieces), "piece")
+    packed = F.expr("shiftleft(rank, 43) | shiftleft(cast(start as long), 29) | shiftleft(cast(len as long), 19) | id")
+    edge = F.struct((F.col("start") + 1).alias("start"), "len", "id", "score") if model.unigram else packed
+    return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("n", F.length("word"))
 
 
 def _bytes_ids(chars: Column, model: Model) -> Column:
@@ -126,20 +176,43 @@ def _bytes_ids(chars: Column, model: Model) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.get(ids, F.conv(F.substr(raw, i, F.lit(2)), 16, 10).cast("int")))
 
 
-def fold_merges(model: Model) -> tuple[Column, Column]:
-    """The column `by` that the fold looks pieces up in, and ids from chars and edges, by BPE: the best-scored neighbours, the leftmost first, are joined until none can be."""
-    by = F.map_from_entries(F.array_distinct(F.transform("edges", lambda e: F.struct(F.substr(F.col("word"), e["start"], e["len"]), F.struct(e["id"], e["score"])))))
-    none = F.lit(float("-inf"))
-
-    def step(parts: Column, _: Column) -> Column:
-        joined = lambda i: F.concat(F.get(parts, i - 1), F.get(parts, i))
-        scores = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.coalesce(F.try_element_at(F.col("by"), joined(i))["score"], none))
-        best = F.array_position(scores, F.array_max(scores)).cast("int")
-        merged = F.concat(F.slice(parts, F.lit(1), best - 1), F.array(joined(best)), F.slice(parts, best + 2, F.size(parts)))
-        return F.when((F.size(parts) > 1) & (F.array_max(F.when(F.size(parts) > 1, scores)) > none), merged).otherwise(parts)
-
-    parts = F.when(F.size("chars") > 1, F.aggregate(F.sequence(F.lit(2), F.size("chars")), F.col("chars"), step)).otherwise(F.col("chars"))
-    return by, F.flatten(F.transform(parts, lambda p: F.coalesce(F.when(F.try_element_at(F.col("by"), p).isNotNull(), F.array(F.try_element_at(F.col("by"), p)["id"])), _bytes_ids(p, model))))
+@dataclass(frozen=True)
+class Places:
+    """SQL over the state m of a fold, the set of places where pieces end: all of them, whether edge e joins two pieces, m behind it, whether e is a piece of m, whether place i ends one, and how many pieces there are."""
+
+    every: str
+    joins: str
+    behind: str
+    piece: str
+    ends: str
+    pieces: str
+
+
+_WINDOW, _ENDS = f"shiftleft(shiftrightunsigned(-1L, 63 - {_L}), {_S})", f"(shiftleft(1L, {_S}) | shiftleft(1L, {_S} + {_L}))"
+_PART = f"substr(m, {_S} + 1, {_L} + 1)"
+#: In the bits of a number, for words up to BITS characters, and in a string for longer ones.
+IN_BITS = Places(
+    "shiftrightunsigned(-1L, 63 - n)", f"{_L} > 1 and bit_count(m & {_WINDOW}) = 3 and (m & {_ENDS}) = {_ENDS}", f"(m & ~{_WINDOW}) | {_ENDS}",
+    f"{_L} > 0 and (m & {_WINDOW}) = {_ENDS}", "(shiftrightunsigned(m, i) & 1L) = 1", "bit_count(m) - 1",
+)
+IN_STRING = Places(
+    "repeat('1', n + 1)", f"{_L} > 1 and startswith({_PART}, '1') and endswith({_PART}, '1') and length(replace({_PART}, '0', '')) = 3", f"concat(substr(m, 1, {_S} + 1), repeat('0', {_L} - 1), substr(m, {_S} + {_L} + 1))",
+    f"{_L} > 0 and {_PART} = concat('1', repeat('0', {_L} - 1), '1')", "substr(m, i + 1, 1) = '1'", "length(replace(m, '0', '')) - 1",
+)
+
+
+def fold_merges(rows: DataFrame, model: Model, p: Places) -> DataFrame:
+    """word, ids of the lattice's rows, by BPE: the best ranked neighbours, the leftmost first, are joined until none can be."""
+    m = f"aggregate(edges, {p.every}, (m, e) -> if({p.joins}, {p.behind}, m))"
+    if model.late:
+        late = f"exists(edges, e -> {_I} in ({', '.join(map(str, sorted(model.late)))}))"
+        first = f"get(transform(slice(filter(edges, e -> {p.joins}), 1, 1), e -> {p.behind}), 0)"
+        m = f"if({late}, aggregate(sequence(1, n), {p.every}, (m, i) -> coalesce({first}, m)), {m})"
+    rows = rows.withColumn("m", F.expr(m)).withColumn("kept", F.expr(f"array_sort(transform(filter(edges, e -> {p.piece}), e -> e & {(1 << 43) - 1}))"))
+    known = F.expr(f"transform(kept, e -> {_I})")
+    at = F.expr(f"transform(filter(sequence(0, n - 1), i -> {p.ends}), i -> struct(get(filter(kept, e -> {_S} = i), 0) as e, substr(word, i + 1, 1) as c))")
+    patched = F.flatten(F.transform(at, lambda x: F.when(x["e"].isNotNull(), F.array(x["e"].bitwiseAND(F.lit(_ID)).cast("int"))).otherwise(_bytes_ids(x["c"], model))))
+    return rows.select("word", F.when(F.expr(f"size(kept) = {p.pieces}"), known).otherwise(patched).alias("ids"))
 
 
 def fold_viterbi(model: Model) -> tuple[Column, Column]:
@@ -168,79 +241,44 @@ def fold_viterbi(model: Model) -> tuple[Column, Column]:
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """word, ids for distinct non-empty words (with their marks), wholly by relations and higher-order functions."""
-    by, ids = (fold_viterbi if model.unigram else fold_merges)(model)
-    return lattice(words, model).withColumn("by", by).select("word", ids.alias("ids"))
-
-
-def frequent_words(docs: DataFrame, most: int = FREQUENT) -> DataFrame:
-    """The most frequent words behind single blanks, counted over all of docs; ties in their byte order."""
-    words = docs.select(F.explode(F.split(text_of(docs), " ")).alias("w")).where(f"w <> '' and length(w) <= {LONGEST_WORD} and not contains(w, '{MARK}')")
-    return words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most).select(F.concat(F.lit(MARK), "w").alias("word"))
-
-
-class Encoder(dict):
-    """Packed ids (32 bits each) of words without their first mark; those not given are folded when met."""
-
-    def __init__(self, model: Model, given: dict[str, bytes]):
-        super().__init__(given)
-        self.model, self.more = model, {}
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.more.get(word)
-        if found is None:
-            if len(self.more) >= REMEMBERED:
-                self.more.clear()
-            ids = self.fold(MARK + word)
-            found = struct.pack(f"<{len(ids)}i", *ids)
-            if len(word) <= LONGEST_WORD:
-                self.more[word] = found
-        return found
-
-    def text(self, text: str) -> bytes:
-        if not text:
-            return b""
-        words = text.split(" ")
-        if "" in words or MARK in text:
-            words = [c[1:] for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
-        return b"".join(map(self.__getitem__, words))
-
-    def fold(self, word: str) -> list[int]:
-        return (self._viterbi if self.model.unigram else self._merges)(word)
-
-    def _merges(self, word: str) -> list[int]:
-        table, parts = self.model.table, list(word)
-        if len(parts) > 50 * LONGEST_WORD:
-            parts = self._merged_long(parts)
-        else:
-            score, none = self.model.scores.get, float("-inf")
-            scores = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-            while scores and (best := max(scores)) > none:
-                at = scores.index(best)
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-                del scores[at]
-                if at:
-                    scores[at - 1] = score(parts[at - 1] + parts[at], none)
-                if at < len(scores):
-                    scores[at] = score(parts[at] + parts[at + 1], none)
-        return [i for p in parts for i in ((table[p][0],) if p in table else self.model.fallback(p))]
-
-    def _merged_long(self, parts: list[str | None]) -> list[str]:
-        """The same order of merges from a heap, for words of any length."""
-        table, n = self.model.table, len(parts)
+    """word, ids for distinct words (with their marks) of one to LONGEST_WORD characters, wholly by relations and higher-order functions."""
+    rows = lattice(words, model)
+    if model.unigram:
+        by, ids = fold_viterbi(model)
+        real = F.filter("edges", lambda e: e["len"] > 0)
+        return rows.withColumn("edges", real).withColumn("chars", F.filter(F.split("word", ""), lambda c: c != "")).withColumn("by", by).select("word", ids.alias("ids"))
+    short, long = (fold_merges(rows.where(f"n {op} {BITS}"), model, p) for op, p in (("<=", IN_BITS), (">", IN_STRING)))
+    return short.unionByName(long)
+
+
+class Folder:
+    """Ids of one word in Python: of words that are too long for the relations, and to test these."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __call__(self, word: str) -> list[int]:
+        if self.model.unigram:
+            return self._viterbi(word)
+        table = self.model.table
+        return [i for p in self.merged(word) for i in ((table[p][0],) if p in table else self.model.fallback(p))]
+
+    def merged(self, word: str) -> list[str]:
+        """The word's pieces by BPE, from a heap of neighbours."""
+        ranks, parts, n = self.model.ranks, list(word), len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[float, int, int, str]] = []
+        heap: list[tuple[int, int, int, str]] = []
 
         def offer(i: int) -> None:
             j = after[i] if i >= 0 else n
-            if i >= 0 and j < n and (found := table.get(parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (-found[1], i, j, parts[i] + parts[j]))
+            if i >= 0 and j < n and (rank := ranks.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(heap, (rank, i, j, parts[i] + parts[j]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
             _, i, j, joined = heapq.heappop(heap)
-            if parts[i] is None or after[i] != j or j >= n or parts[j] is None or parts[i] + parts[j] != joined:
+            if parts[i] is None or parts[j] is None or after[i] != j or parts[i] + parts[j] != joined:
                 continue
             parts[i], parts[j] = joined, None
             after[i] = after[j]
@@ -267,77 +305,209 @@ class Encoder(dict):
         return [i for part in reversed(ids) for i in part]
 
 
-class Decoder:
-    """Text of ids."""
+def cut(texts: pa.StringArray, lines: bool) -> pa.ListArray:
+    """The words of each text, with their marks; an empty text has one empty word. Words begin at runs of marks and, if lines, at line feeds."""
+    marked = pc.binary_join_element_wise(MARK, pc.replace_substring(texts, " ", MARK), "")
+    marked = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", marked)
+    plain = pc.replace_substring(marked, MARK, _CUT + MARK)
+    if lines:
+        plain = pc.replace_substring(plain, "\n", _CUT + "\n")
+    odd = pc.or_(pc.match_substring(marked, MARK + MARK), pc.match_substring(marked, _CUT))
+    out = pc.split_pattern(pc.utf8_replace_slice(plain, 0, 1, ""), _CUT)
+    if pc.any(odd).as_py():
+        word = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*" if lines else f"{MARK}+[^{MARK}]*")
+        out = pa.array([word.findall(m) if o else w for m, o, w in zip(marked.to_pylist(), odd.to_pylist(), out.to_pylist(), strict=True)], pa.list_(pa.string()))
+    return out
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
+    """Runs of rows with some SLICE_BYTES of text, and their texts, nulls as empty ones."""
+    texts = pc.fill_null(batch.column(column), "")
+    end = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield batch.slice(at, to - at), texts.slice(at, to - at)
+        at = to
+
+
+def _runs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batch's rows by runs of one block."""
+    blocks = batch.column(column).to_numpy(zero_copy_only=False)
+    borders = [0, *(np.nonzero(blocks[1:] != blocks[:-1])[0] + 1).tolist(), len(blocks)] if len(blocks) else [0]
+    for a, b in zip(borders, borders[1:], strict=False):
+        yield int(blocks[a]), batch.slice(a, b - a)
+
+
+def _from_files(docs: DataFrame) -> bool:
+    """Whether rows come from one scan of files, row by row, so that a row always is in the same file."""
+    plan, names = [docs._jdf.queryExecution().optimizedPlan()], []
+    while plan:
+        node = plan.pop()
+        names.append(node.nodeName())
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    return names[-1] in ("LogicalRelation", "Relation") and set(names[:-1]) <= {"Project", "Filter"}
 
-    def __init__(self, model: Model):
-        self.names = list(model.names)
-        self.bytes_ = {i: bytes([b]) for b, i in enumerate(model.bytes_)}
-
-    def __call__(self, ids: list[int]) -> str:
-        if self.bytes_.keys().isdisjoint(ids):
-            out = "".join(map(self.names.__getitem__, ids))
-        else:
-            out = b"".join(self.bytes_.get(i) or self.names[i].encode("utf-8") for i in ids).decode("utf-8", "replace")
-        return out.replace(MARK, " ")[1:] if ids else ""
 
+@dataclass(frozen=True)
+class Texts:
+    """rows: own columns, then `text` and `block` by names that none of them has; the folder of the blocks' dictionaries."""
+
+    rows: DataFrame
+    text: str
+    block: str
+    path: str
+
+
+def _prepared(docs: DataFrame, model: Model) -> Texts:
+    """Encodes all distinct words of docs, and writes them by block."""
+    docs = docs if _from_files(docs) else saved(docs, "texts")
+    spark, mark = docs.sparkSession, uuid.uuid4().hex
+    text, block, path = f"text_{mark}", f"block_{mark}", f"{shared_dir(spark)}/dictionaries-{mark}"
+    pa.fs.FileSystem.from_uri(path)  # raises here, not in a task, if executors could not open the folder
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    of = F.pmod(F.xxhash64(F.input_file_name(), F.floor(F.input_file_block_start() / BLOCK_BYTES)), F.lit(blocks))
+    rows = docs.select(*(docs[c] for c in docs.columns), text_of(docs).alias(text), of.alias(block))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            if held:
+                words = pa.concat_arrays(held).unique()
+                words = words.filter(pc.and_(pc.greater(pc.binary_length(words), 0), pc.less_equal(pc.utf8_length(words), LONGEST_WORD)))
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), at), pa.int64()), words], names=["block", "word"])
 
-def _given(docs: DataFrame, model: Model) -> dict[str, bytes]:
-    rows = saved(encode_words(frequent_words(docs), model), "words").toLocalIterator()  # FREQUENT words at most
-    return {r["word"][1:]: struct.pack(f"<{len(r['ids'])}i", *r["ids"]) for r in rows}
+        for batch in batches:
+            for b, run in _runs(batch, block):
+                if b != at:
+                    yield from sent()
+                    at = b
+                for _, texts in _slices(run, text):
+                    held.append(cut(texts, model.line_ends_words).flatten().unique())
+                    if sum(map(len, held)) > GATHERED:
+                        held[:] = [pa.concat_arrays(held).unique()]
+                        if len(held[0]) > GATHERED // 2:
+                            yield from sent()
+        yield from sent()
+
+    met = rows.select(text, block).mapInArrow(distinct, "block long, word string").repartition("word")
+    # by the same exchange as below: with the blocks in it, the words are not another one
+    words = met.groupBy("word").agg(F.min("block").alias("least")).where("least is not null").select("word")
+    coded = encode_words(words, model)
+    met.dropDuplicates(["word", "block"]).join(coded, "word").select("block", "word", "ids").repartition("block").write.partitionBy("block").parquet(path)
+    return Texts(rows, text, block, path)
+
+
+class Blocks:
+    """Word ids of the texts of one block after another."""
+
+    def __init__(self, path: str, model: Model):
+        self.fs, self.path = pa.fs.FileSystem.from_uri(path)
+        self.model, self.block, self.fold = model, None, Folder(model)
+
+    def _open(self, block: int) -> None:
+        import pyarrow.parquet as pq
+
+        path = f"{self.path}/block={block}"
+        if self.fs.get_file_info(path).type == pa.fs.FileType.NotFound:  # its texts are empty
+            self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+        else:
+            read = pq.read_table(path, filesystem=self.fs, columns=["word", "ids"], partitioning=None).combine_chunks()
+            self.words, self.ids = (read.column(c).combine_chunks() for c in ("word", "ids"))
+            self.ids = pa.ListArray.from_arrays(self.ids.offsets, self.ids.values)
+        self.block = block
+
+    def __call__(self, block: int, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin and the last ones end."""
+        if block != self.block:
+            self._open(block)
+        words = cut(texts, self.model.line_ends_words)
+        met = words.flatten().dictionary_encode()
+        found = pc.index_in(self.words, value_set=met.dictionary)
+        rows = np.nonzero(found.is_valid().to_numpy(zero_copy_only=False))[0]
+        order = np.full(len(met.dictionary), -1)
+        order[found.drop_null().to_numpy()] = np.arange(len(rows))
+        lists, more = self.ids.take(pa.array(rows)), []
+        for i in np.nonzero(order < 0)[0].tolist():
+            word = met.dictionary[i].as_py()
+            if 0 < len(word) <= LONGEST_WORD:
+                raise RuntimeError("a word is not in its block's dictionary: the rows were not the same when read again")
+            order[i] = len(rows) + len(more)
+            more.append(self.fold(word) if word else [])
+        if more:
+            lists = pa.concat_arrays([lists, pa.array(more, lists.type)])
+        lists = lists.take(pa.array(order[met.indices.to_numpy()]))
+        return lists.flatten().to_numpy(), lists.offsets.to_numpy()[words.offsets.to_numpy() - words.offsets[0].as_py()]
+
+
+def _decoded(ids: np.ndarray, ends: np.ndarray, spelled: pa.BinaryArray) -> pa.BinaryArray:
+    """The bytes of each text's pieces."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spelled.take(pa.array(ids))), b"")
 
 
 def encoded(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs, with its columns, and ids: array<int> (a column of that name is replaced). A null text has no ids, like an empty one; rows repeat as they do in docs."""
+    """docs, with its columns, and ids: array<int> (a column of that name is replaced).
+
+    A null text has no ids, like an empty one; rows repeat as they do in docs.
+    The words' dictionaries stay in the shared folder as long as the result is read.
+    """
     model = model or load()
-    sent = docs.sparkSession.sparkContext.broadcast((model, _given(docs, model)))
-    own = docs.select(*(docs[c] for c in docs.columns if c != "ids"))
-    schema = T.StructType([*own.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    docs = docs.select(*(docs[c] for c in docs.columns if c != "ids"))
+    names, t = docs.columns, _prepared(docs, model)
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    path, text, block = t.path, t.text, t.block
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*sent.value)
+        blocks = Blocks(path, model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                b = batch.slice(i, 512)
-                packed = [encoder.text(t or "") for t in b.column("text").to_pylist()]
-                flat = np.frombuffer(b"".join(packed), "<i4")
-                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p) // 4 for p in packed)]), pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "ids"])
+            for b, run in _runs(batch, block):
+                for part, texts in _slices(run, text):
+                    ids, ends = blocks(b, texts)
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], names=[*names, "ids"])
 
-    return own.mapInArrow(encode, schema)
+    return t.rows.mapInArrow(encode, schema)
 
 
 def decoded(rows: DataFrame, model: Model | None = None) -> DataFrame:
-    """rows, with its columns, and text from ids; null ids give an empty text."""
+    """rows, with its columns, and text from ids; null ids give an empty text, bytes that are no UTF-8 the replacement character."""
     model = model or load()
     own = rows.select(*(rows[c] for c in rows.columns if c != "text"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model)
+        spelled = pa.array(model.spelled, pa.binary())
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 b = batch.slice(i, 512)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([decoder(x or []) for x in b.column("ids").to_pylist()], pa.string())], names=[*b.schema.names, "text"])
+                lists = pc.fill_null(b.column("ids"), pa.scalar([], b.column("ids").type))
+                said = _decoded(lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py(), spelled)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.decode("utf-8", "replace").removeprefix(" ") for x in said.to_pylist()], pa.string())], names=[*b.schema.names, "text"])
 
     return own.mapInArrow(decode, T.StructType([*own.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def encoding_report(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers), round_trip (decoding gives the text back) for every row."""
-    import hashlib
+    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers), round_trip (decoding gives the text back) for every row.
 
+    Null texts are empty: no tokens, and a round trip. Rows that repeat get a row each; a null doc_id stays null.
+    """
     model = model or load()
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast((model, _given(rows, model)))
+    t = _prepared(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), model)
+    path, text, block = t.path, t.text, t.block
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(*sent.value), Decoder(sent.value[0])
-        for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                packed = encoder.text(text)
-                out.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), decoder(np.frombuffer(packed, "<i4").tolist()) == text.replace(MARK, " ")))
-            n, sha, same = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
-
-    return rows.mapInArrow(report, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
+        blocks, spelled = Blocks(path, model), pa.array(model.spelled, pa.binary())
+        for batch in batches:
+            for b, run in _runs(batch, block):
+                for part, texts in _slices(run, text):
+                    ids, ends = blocks(b, texts)
+                    raw = np.ascontiguousarray(ids, "<i4")
+                    sha = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+                    # behind the mark before its first word, a text is given back with blanks for marks of its own
+                    own = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", pc.replace_substring(texts, MARK, " "), ""))
+                    same = pc.equal(_decoded(ids, ends, spelled), own.cast(pa.binary()))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(sha, pa.string()), same], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
+
+    return t.rows.mapInArrow(report, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")

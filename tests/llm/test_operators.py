@@ -236,7 +236,8 @@ def test_sentencepiece(spark, corpus):
 
     proto = pb.ModelProto()
     proto.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
-    t = [*corpus[0], "  two  spaces ", "日本語 🙂\n\t", " lead", "é" * 200 + "x" * 300]
+    blanks = [a + " " * n + b for n in (2, 3, 7, 16, 17, 31, 40, 70) for a, b in (("", "x"), ("of", "the\n\n" + " " * n + "q"))]
+    t = [*corpus[0], "  two  spaces ", "日本語 🙂\n\t", " lead", "é" * 200 + "x" * 300, "▁own mark\x1f x", "Line\r\nand };\r\n}", "Représentations" * 400, *blanks]
     for unigram in (False, True):
         if unigram:
             proto.trainer_spec.model_type = 1
@@ -246,15 +247,16 @@ def test_sentencepiece(spark, corpus):
         lib = library.SentencePieceProcessor(model_proto=proto.SerializeToString())
         score = lambda ids: sum(proto.pieces[i].score for i in ids)  # noqa: E731, B023
         same = lambda a, b: score(a) == pytest.approx(score(b)) and lib.decode(a) == lib.decode(b) if unigram else a == b  # noqa: E731, B023
-        words = sentencepiece.encode_words(spark.createDataFrame([(sentencepiece.MARK + w,) for w in [*WORDS, "日本語🙂", "unbelievable", "x"]], "word string"), model).collect()
-        assert len(words) == len(WORDS) + 3
-        encoder = sentencepiece.Encoder(model, {})
+        known = [*WORDS, "日本語🙂", "unbelievable", "x", "Représentations" * 3, "straightforward" * 30, "é🙂" * 40]
+        words = sentencepiece.encode_words(spark.createDataFrame([(sentencepiece.MARK + w,) for w in known], "word string"), model).collect()
+        assert len(words) == len(known)
+        fold = sentencepiece.Folder(model)
         for r in words:
-            assert list(r.ids) == encoder.fold(r.word) and same(list(r.ids), lib.encode(r.word[1:]))
+            assert list(r.ids) == fold(r.word) and same(list(r.ids), lib.encode(r.word[1:]))
         ids = by_id(sentencepiece.encoded(frame(spark, t), model))
         assert all(same(list(ids[i].ids), lib.encode(x or "")) for i, x in enumerate(t))
         back = by_id(sentencepiece.decoded(sentencepiece.encoded(frame(spark, t), model), model))
-        assert all(back[i].text == (x or "") for i, x in enumerate(t))
+        assert all(back[i].text == (x or "").replace(sentencepiece.MARK, " ") for i, x in enumerate(t))
     assert all(r.round_trip for r in sentencepiece.encoding_report(frame(spark, t)).collect())
 
 
