@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into words where the model lets no piece cross: before each run
-of its word mark, and before line feeds if no piece holds one. Every distinct
-word of the corpus is encoded by relations: its substrings up to the longest
-piece's length are exploded and equi-joined to the piece table, the edges are
-grouped by word, and Spark's higher-order aggregate folds them to pieces.
+A text is cut where the model lets no piece cross: before blanks and line feeds
+first, and these words again between any two characters that stand side by side
+in no piece. Every distinct part that the corpus then has is encoded by
+relations: its substrings up to the longest piece's length are exploded and
+equi-joined to the piece table, the edges are grouped by part, and Spark's
+higher-order aggregate folds them to pieces.
 
 For a unigram model the fold is Viterbi's: the best sum of scores into each
 place. For a BPE model scores are ranks of merges and not costs of a path, so
@@ -13,14 +14,14 @@ the set of places where pieces end, and edges come in the order of their ranks
 and places: an edge whose ends are in the set, with one other between them,
 joins two pieces and takes that one out. One pass is exact where every piece is
 put together from better ranked ones, which is tested for each piece of the
-model; words with a piece that is not are folded by repeated passes.
+model; parts with a piece that is not are folded by repeated passes.
 
-Words reach the texts in blocks. A block is a number of bytes of the input's
-files. An Arrow pass gives each block's distinct words, the words of all blocks
-are dealt by word, made distinct, encoded and joined to the blocks again, and
+Parts reach the texts in blocks. A block is a number of bytes of the input's
+files. An Arrow pass gives each block's distinct parts, those of all blocks are
+dealt by their text, made distinct, encoded and joined to the blocks again, and
 each block's dictionary is written to the shared folder. A second Arrow pass
 over the texts reads the dictionary of its block and puts the pieces of its
-words in a row, column by column. So neither texts nor the places of words are
+parts in a row, column by column. So neither texts nor the places of parts are
 shuffled, and a dictionary is bounded by the bytes of a block and not by the
 corpus. Rows that do not come straight from files are written to such first.
 """
@@ -29,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,13 +48,14 @@ from .common import saved, shared_dir, text_of
 MARK = "▁"
 #: Bytes of input files that share a dictionary.
 BLOCK_BYTES = 128 << 20
-#: Characters of the longest word that is encoded by relations, and of those whose fold keeps its places in the bits of one number.
+#: Characters of the longest part that is encoded by relations, and of those whose fold keeps its places in the bits of one number.
 LONGEST_WORD, BITS = 4096, 62
-#: Bytes of text that a task encodes at once, and words that it gathers before it sends them on.
+#: Bytes of text that a task encodes at once, and parts that it gathers before it sends them on.
 SLICE_BYTES, GATHERED = 16 << 20, 1_500_000
 #: What an unknown character costs below the lowest score, in a unigram model.
 UNKNOWN_PENALTY = 10.0
-_CUT = "\x1f"
+#: Parts that a task groups by a hash map before it sorts them.
+GROUPED = 65_536
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
 
@@ -87,19 +88,32 @@ class Model:
         return min(s for _, _, s in self.pieces) - UNKNOWN_PENALTY
 
     @cached_property
-    def line_ends_words(self) -> bool:
-        return not any("\n" in p for p, _, _ in self.pieces)
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """A class for each character, and for each hashed pair of classes whether they may stand side by side in a piece."""
+        chars = sorted({c for p, _, _ in self.pieces if len(p) > 1 for c in p})
+        of, joint = np.zeros(0x110000, np.uint16), np.zeros(_PAIRS, bool)
+        of[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        pairs = {(of[ord(a)], of[ord(b)]) for p, _, _ in self.pieces for a, b in zip(p, p[1:], strict=False)}
+        joint[_pair(np.array([a for a, _ in pairs], np.uint16), np.array([b for _, b in pairs], np.uint16))] = True
+        return of, joint
 
     @cached_property
-    def late(self) -> frozenset[int]:
-        """Ids of pieces that merging makes of their own text, but one pass over the edges in order does not."""
-        return frozenset(i for p, i, _ in self.pieces if len(p) > 1 and one_pass(p, self.ranks) != [p] and Folder(self).merged(p) == [p])
+    def late(self) -> frozenset[str]:
+        """Pieces that merging makes of their own text, but one pass over the edges in order does not."""
+        return frozenset(p for p, _, _ in self.pieces if len(p) > 1 and one_pass(p, self.ranks) != [p] and Folder(self).merged(p) == [p])
 
     def fallback(self, char: str) -> list[int]:
         """Ids of text that is no piece: its bytes, or the unknown piece."""
         return [self.bytes_[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes_ else [self.unknown]
 
 
+_PAIRS = 1 << 18
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.uint32) * np.uint32(521) + b) & np.uint32(_PAIRS - 1)
+
+
 def load(path: str | None = None) -> Model:
     """The model in a file; only such with an identity normalizer and the word mark before words are taken."""
     from sentencepiece import sentencepiece_model_pb2
@@ -159,9 +173,10 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     spark = words.sparkSession
     # no substring is empty but the one that each word has, so that no word is without an edge
     rows = [("", len(model.pieces), 0, 0.0), *((p, model.ranks[p], i, float(s)) for p, i, s in model.pieces)]
-    pieces = spark.createDataFrame(rows, "piece string, rank long, id int, score double")
-    # a model's pieces: the vocabulary's fixed size
-    found = substrings(words, model.longest).join(F.broadcast(pieces), "piece")
+    pieces = spark.createDataFrame(rows, "own string, rank long, id int, score double").withColumn("key", F.xxhash64("own"))
+    # joined by their hashes, as numbers, and then compared; a model's pieces have the vocabulary's fixed size
+    same = F.startswith("piece", F.col("own")) & F.startswith("own", F.col("piece"))
+    found = substrings(words, model.longest).withColumn("at", F.xxhash64("piece")).join(F.broadcast(pieces), (F.col("at") == F.col("key")) & same)
     packed = F.expr("shiftleft(rank, 43) | shiftleft(cast(start as long), 29) | shiftleft(cast(len as long), 19) | id")
     edge = F.struct((F.col("start") + 1).alias("start"), "len", "id", "score") if model.unigram else packed
     return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("n", F.length("word"))
@@ -176,43 +191,39 @@ def _bytes_ids(chars: Column, model: Model) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.get(ids, F.conv(F.substr(raw, i, F.lit(2)), 16, 10).cast("int")))
 
 
-@dataclass(frozen=True)
-class Places:
-    """SQL over the state m of a fold, the set of places where pieces end: all of them, whether edge e joins two pieces, m behind it, whether e is a piece of m, whether place i ends one, and how many pieces there are."""
-
-    every: str
-    joins: str
-    behind: str
-    piece: str
-    ends: str
-    pieces: str
-
-
+#: The state m of a fold in the bits of a number: the places that edge x spans are x.w, its ends x.t.
 _WINDOW, _ENDS = f"shiftleft(shiftrightunsigned(-1L, 63 - {_L}), {_S})", f"(shiftleft(1L, {_S}) | shiftleft(1L, {_S} + {_L}))"
-_PART = f"substr(m, {_S} + 1, {_L} + 1)"
-#: In the bits of a number, for words up to BITS characters, and in a string for longer ones.
-IN_BITS = Places(
-    "shiftrightunsigned(-1L, 63 - n)", f"{_L} > 1 and bit_count(m & {_WINDOW}) = 3 and (m & {_ENDS}) = {_ENDS}", f"(m & ~{_WINDOW}) | {_ENDS}",
-    f"{_L} > 0 and (m & {_WINDOW}) = {_ENDS}", "(shiftrightunsigned(m, i) & 1L) = 1", "bit_count(m) - 1",
-)
-IN_STRING = Places(
-    "repeat('1', n + 1)", f"{_L} > 1 and startswith({_PART}, '1') and endswith({_PART}, '1') and length(replace({_PART}, '0', '')) = 3", f"concat(substr(m, 1, {_S} + 1), repeat('0', {_L} - 1), substr(m, {_S} + {_L} + 1))",
-    f"{_L} > 0 and {_PART} = concat('1', repeat('0', {_L} - 1), '1')", "substr(m, i + 1, 1) = '1'", "length(replace(m, '0', '')) - 1",
-)
-
-
-def fold_merges(rows: DataFrame, model: Model, p: Places) -> DataFrame:
-    """word, ids of the lattice's rows, by BPE: the best ranked neighbours, the leftmost first, are joined until none can be."""
-    m = f"aggregate(edges, {p.every}, (m, e) -> if({p.joins}, {p.behind}, m))"
-    if model.late:
-        late = f"exists(edges, e -> {_I} in ({', '.join(map(str, sorted(model.late)))}))"
-        first = f"get(transform(slice(filter(edges, e -> {p.joins}), 1, 1), e -> {p.behind}), 0)"
-        m = f"if({late}, aggregate(sequence(1, n), {p.every}, (m, i) -> coalesce({first}, m)), {m})"
-    rows = rows.withColumn("m", F.expr(m)).withColumn("kept", F.expr(f"array_sort(transform(filter(edges, e -> {p.piece}), e -> e & {(1 << 43) - 1}))"))
-    known = F.expr(f"transform(kept, e -> {_I})")
-    at = F.expr(f"transform(filter(sequence(0, n - 1), i -> {p.ends}), i -> struct(get(filter(kept, e -> {_S} = i), 0) as e, substr(word, i + 1, 1) as c))")
-    patched = F.flatten(F.transform(at, lambda x: F.when(x["e"].isNotNull(), F.array(x["e"].bitwiseAND(F.lit(_ID)).cast("int"))).otherwise(_bytes_ids(x["c"], model))))
-    return rows.select("word", F.when(F.expr(f"size(kept) = {p.pieces}"), known).otherwise(patched).alias("ids"))
+IN_BITS = {
+    "edges": f"transform(slice(edges, 1, size(edges) - 1), e -> struct(e, {_WINDOW} as w, {_ENDS} as t))", "every": "shiftrightunsigned(-1L, 63 - n)",
+    "joins": "bit_count(m & x.w) = 3 and (m & x.t) = x.t", "behind": "(m & ~x.w) | x.t", "piece": "(m & x.w) = x.t", "ends": "(shiftrightunsigned(m, i) & 1L) = 1", "pieces": "bit_count(m) - 1",
+}
+#: And in a string of 0 and 1, for longer parts.
+_SPAN = "substr(m, x.s + 1, x.l + 1)"
+IN_STRING = {
+    "edges": f"transform(slice(edges, 1, size(edges) - 1), e -> struct(e, {_S} as s, {_L} as l))", "every": "repeat('1', n + 1)",
+    "joins": f"x.l > 1 and startswith({_SPAN}, '1') and endswith({_SPAN}, '1') and length(replace({_SPAN}, '0', '')) = 3", "behind": "concat(substr(m, 1, x.s + 1), repeat('0', x.l - 1), substr(m, x.s + x.l + 1))",
+    "piece": f"{_SPAN} = concat('1', repeat('0', x.l - 1), '1')", "ends": "substr(m, i + 1, 1) = '1'", "pieces": "length(replace(m, '0', '')) - 1",
+}
+
+
+def _folded(model: Model, p: dict[str, str]) -> Column:
+    """ids, or at where a character is no piece, from word, n and edges, by BPE: the best ranked neighbours, the leftmost first, are joined until none can be."""
+    once = f"aggregate(d, {p['every']}, (m, x) -> if({p['joins']}, {p['behind']}, m))"
+    first = f"get(transform(slice(filter(d, x -> {p['joins']}), 1, 1), x -> {p['behind']}), 0)"
+    again = f"aggregate(sequence(1, n), {p['every']}, (m, i) -> coalesce({first}, m))"
+    late = " or ".join(f"contains(word, '{q}')" for q in model.late)
+    m = f"if({late}, {again}, {once})" if late else once
+    kept = f"array_sort(transform(filter(d, x -> {p['piece']}), x -> x.e & {(1 << 43) - 1}))"
+    at = f"transform(filter(sequence(0, n - 1), i -> {p['ends']}), i -> struct(get(filter(k, e -> {_S} = i), 0) as e, substr(word, i + 1, 1) as c))"
+    # nested transforms of one element name what is used more than once
+    return F.expr(f"get(transform(array({p['edges']}), d -> get(transform(array({m}), m -> get(transform(array({kept}), k -> struct(if(size(k) = {p['pieces']}, transform(k, e -> {_I}), null) as ids, if(size(k) = {p['pieces']}, null, {at}) as at)), 0)), 0)), 0)")
+
+
+def fold_merges(rows: DataFrame, model: Model) -> DataFrame:
+    """word, ids of the lattice's rows by BPE, by as few steps as places of a part fit in a number or not."""
+    rows = rows.withColumn("f", F.when(F.col("n") <= BITS, _folded(model, IN_BITS)).otherwise(_folded(model, IN_STRING)))
+    patched = F.flatten(F.transform("f.at", lambda x: F.when(x["e"].isNotNull(), F.array(x["e"].bitwiseAND(F.lit(_ID)).cast("int"))).otherwise(_bytes_ids(x["c"], model))))
+    return rows.select("word", F.coalesce("f.ids", patched).alias("ids"))
 
 
 def fold_viterbi(model: Model) -> tuple[Column, Column]:
@@ -247,8 +258,7 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
         by, ids = fold_viterbi(model)
         real = F.filter("edges", lambda e: e["len"] > 0)
         return rows.withColumn("edges", real).withColumn("chars", F.filter(F.split("word", ""), lambda c: c != "")).withColumn("by", by).select("word", ids.alias("ids"))
-    short, long = (fold_merges(rows.where(f"n {op} {BITS}"), model, p) for op, p in (("<=", IN_BITS), (">", IN_STRING)))
-    return short.unionByName(long)
+    return fold_merges(rows, model)
 
 
 class Folder:
@@ -305,19 +315,44 @@ class Folder:
         return [i for part in reversed(ids) for i in part]
 
 
-def cut(texts: pa.StringArray, lines: bool) -> pa.ListArray:
-    """The words of each text, with their marks; an empty text has one empty word. Words begin at runs of marks and, if lines, at line feeds."""
-    marked = pc.binary_join_element_wise(MARK, pc.replace_substring(texts, " ", MARK), "")
-    marked = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", marked)
-    plain = pc.replace_substring(marked, MARK, _CUT + MARK)
-    if lines:
-        plain = pc.replace_substring(plain, "\n", _CUT + "\n")
-    odd = pc.or_(pc.match_substring(marked, MARK + MARK), pc.match_substring(marked, _CUT))
-    out = pc.split_pattern(pc.utf8_replace_slice(plain, 0, 1, ""), _CUT)
-    if pc.any(odd).as_py():
-        word = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*" if lines else f"{MARK}+[^{MARK}]*")
-        out = pa.array([word.findall(m) if o else w for m, o, w in zip(marked.to_pylist(), odd.to_pylist(), out.to_pylist(), strict=True)], pa.list_(pa.string()))
-    return out
+def _strings(data: pa.Buffer, ends: np.ndarray) -> pa.StringArray:
+    """The strings that lie in a row in data, from one of the ends to the next."""
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32)), data)
+
+
+def _raw(texts: pa.StringArray) -> tuple[pa.Buffer, np.ndarray, np.ndarray]:
+    """An array's own bytes, as a buffer and as numbers, and where each string begins and the last one ends."""
+    texts = pa.concat_arrays([texts, pa.array([], pa.string())])  # a copy that begins at 0
+    ends, data = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1), texts.buffers()[2] or pa.py_buffer(b"")
+    return data, np.frombuffer(data, np.uint8, int(ends[-1])), ends
+
+
+def cut(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of all texts in a row, with blanks for marks, and where each text's begin and the last ones end. Words begin at runs of blanks and at line feeds; an empty text has none."""
+    if pc.any(pc.match_substring(texts, MARK)).as_py():
+        texts = pc.replace_substring(texts, MARK, " ")
+    empty = pc.equal(pc.binary_length(texts), 0)
+    data, b, ends = _raw(pc.if_else(empty, "", pc.binary_join_element_wise(" ", texts, "")))
+    blank = b == 32
+    first = blank.copy()
+    first[1:] &= ~blank[:-1]
+    first |= b == 10
+    first[ends[:-1][ends[:-1] < len(b)]] = True
+    at = np.append(np.nonzero(first)[0], len(b))
+    return _strings(data, at), np.searchsorted(at, ends)
+
+
+def parts(words: pa.StringArray, model: Model) -> tuple[pa.StringArray, np.ndarray]:
+    """The parts of all words in a row, with marks, and where each word's begin and the last ones end: cut between characters that no piece has side by side."""
+    data, b, ends = _raw(pc.replace_substring(words, " ", MARK))
+    at = np.nonzero((b & 0xC0) != 0x80)[0]  # where characters begin
+    of, joint = model.neighbours
+    kind = of[np.frombuffer(b.tobytes().decode().encode("utf-32-le"), np.uint32)]
+    first = np.ones(len(kind), bool)
+    first[1:] = ~joint[_pair(kind[:-1], kind[1:])]
+    first[np.searchsorted(at, ends[:-1][ends[:-1] < len(b)])] = True
+    at = np.append(at[first], len(b))
+    return _strings(data, at), np.searchsorted(at, ends)
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
@@ -376,8 +411,9 @@ def _prepared(docs: DataFrame, model: Model) -> Texts:
         def sent() -> Iterator[pa.RecordBatch]:
             if held:
                 words = pa.concat_arrays(held).unique()
-                words = words.filter(pc.and_(pc.greater(pc.binary_length(words), 0), pc.less_equal(pc.utf8_length(words), LONGEST_WORD)))
                 held.clear()
+                words = parts(words, model)[0].unique()
+                words = words.filter(pc.less_equal(pc.utf8_length(words), LONGEST_WORD))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), at), pa.int64()), words], names=["block", "word"])
 
         for batch in batches:
@@ -386,7 +422,7 @@ def _prepared(docs: DataFrame, model: Model) -> Texts:
                     yield from sent()
                     at = b
                 for _, texts in _slices(run, text):
-                    held.append(cut(texts, model.line_ends_words).flatten().unique())
+                    held.append(cut(texts)[0].unique())
                     if sum(map(len, held)) > GATHERED:
                         held[:] = [pa.concat_arrays(held).unique()]
                         if len(held[0]) > GATHERED // 2:
@@ -396,8 +432,14 @@ def _prepared(docs: DataFrame, model: Model) -> Texts:
     met = rows.select(text, block).mapInArrow(distinct, "block long, word string").repartition("word")
     # by the same exchange as below: with the blocks in it, the words are not another one
     words = met.groupBy("word").agg(F.min("block").alias("least")).where("least is not null").select("word")
-    coded = encode_words(words, model)
-    met.dropDuplicates(["word", "block"]).join(coded, "word").select("block", "word", "ids").repartition("block").write.partitionBy("block").parquet(path)
+    found = met.dropDuplicates(["word", "block"]).join(encode_words(words, model), "word").select("block", "word", "ids")
+    limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(GROUPED))
+    try:
+        found.repartition("block").write.partitionBy("block").parquet(path)
+    finally:
+        spark.conf.set(limit, before)
     return Texts(rows, text, block, path)
 
 
@@ -424,23 +466,27 @@ class Blocks:
         """The ids of all texts in a row, and where each text's begin and the last ones end."""
         if block != self.block:
             self._open(block)
-        words = cut(texts, self.model.line_ends_words)
-        met = words.flatten().dictionary_encode()
-        found = pc.index_in(self.words, value_set=met.dictionary)
+        words, borders = cut(texts)
+        met = words.dictionary_encode()
+        cuts, ends = parts(met.dictionary, self.model)
+        own = cuts.dictionary_encode()
+        found = pc.index_in(self.words, value_set=own.dictionary)
         rows = np.nonzero(found.is_valid().to_numpy(zero_copy_only=False))[0]
-        order = np.full(len(met.dictionary), -1)
+        order = np.full(len(own.dictionary), -1)
         order[found.drop_null().to_numpy()] = np.arange(len(rows))
         lists, more = self.ids.take(pa.array(rows)), []
         for i in np.nonzero(order < 0)[0].tolist():
-            word = met.dictionary[i].as_py()
-            if 0 < len(word) <= LONGEST_WORD:
-                raise RuntimeError("a word is not in its block's dictionary: the rows were not the same when read again")
+            word = own.dictionary[i].as_py()
+            if len(word) <= LONGEST_WORD:
+                raise RuntimeError("a part is not in its block's dictionary: the rows were not the same when read again")
             order[i] = len(rows) + len(more)
-            more.append(self.fold(word) if word else [])
+            more.append(self.fold(word))
         if more:
             lists = pa.concat_arrays([lists, pa.array(more, lists.type)])
-        lists = lists.take(pa.array(order[met.indices.to_numpy()]))
-        return lists.flatten().to_numpy(), lists.offsets.to_numpy()[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        lists = lists.take(pa.array(order[own.indices.to_numpy()]))
+        lists = pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy()[ends], pa.int32()), lists.values)
+        lists = lists.take(met.indices)
+        return lists.flatten().to_numpy(), lists.offsets.to_numpy()[borders]
 
 
 def _decoded(ids: np.ndarray, ends: np.ndarray, spelled: pa.BinaryArray) -> pa.BinaryArray:
