@@ -54,8 +54,6 @@ LONGEST_WORD, BITS = 4096, 62
 SLICE_BYTES, GATHERED = 16 << 20, 1_500_000
 #: What an unknown character costs below the lowest score, in a unigram model.
 UNKNOWN_PENALTY = 10.0
-#: Parts that a task groups by a hash map before it sorts them.
-GROUPED = 65_536
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
 
@@ -157,27 +155,34 @@ def one_pass(word: str, ranks: dict[str, int]) -> list[str]:
 
 
 #: An edge's rank, start, length and id in one number, for an order by rank and start: most values of the last three.
-_START, _LEN, _ID = (1 << 14) - 1, (1 << 10) - 1, (1 << 19) - 1
-_S, _L, _I = f"cast(shiftright(e, 29) & {_START} as int)", f"cast(shiftright(e, 19) & {_LEN} as int)", f"cast(e & {_ID} as int)"
+_START, _LEN, _ID = (1 << 14) - 1, (1 << 5) - 1, (1 << 19) - 1
+_S, _L, _I = f"cast(shiftright(e, 24) & {_START} as int)", f"cast(shiftright(e, 19) & {_LEN} as int)", f"cast(e & {_ID} as int)"
 
 
-def substrings(words: DataFrame, longest: int) -> DataFrame:
-    """word, n, start, len, piece: every substring of each distinct word up to that length, and one of no length."""
+#: Characters below this one are no edges of a BPE lattice; their ids are looked up by their numbers where they stay alone.
+_LOW = 0x250
+
+
+def substrings(words: DataFrame, longest: int, low: int = 0) -> DataFrame:
+    """word, n, start, len, piece: every substring of each distinct word up to that length, but for single characters below low, and one of no length."""
     starts = words.select("word", F.length("word").alias("n")).withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    lens = F.sequence(F.when(F.col("start") == 0, 0).otherwise(1), F.least(F.lit(longest), F.col("n") - F.col("start")))
-    return starts.withColumn("len", F.explode(lens)).withColumn("piece", F.substr("word", F.col("start") + 1, F.col("len")))
+    least = F.when(F.col("start") == 0, 0).when(F.ascii(F.substr("word", F.col("start") + 1, F.lit(1))) < low, 2).otherwise(1)
+    starts = starts.withColumns({"least": least, "most": F.least(F.lit(longest), F.col("n") - F.col("start"))}).where("least <= most")
+    return starts.withColumn("len", F.explode(F.sequence("least", "most"))).withColumn("piece", F.substr("word", F.col("start") + 1, F.col("len")))
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
     """word, n (characters), edges: every piece at every place of each distinct word. Edges of a BPE model are packed and in the order of merging, those of a unigram model are structs."""
-    spark = words.sparkSession
+    spark, low = words.sparkSession, 0 if model.unigram else _LOW
     # no substring is empty but the one that each word has, so that no word is without an edge
-    rows = [("", len(model.pieces), 0, 0.0), *((p, model.ranks[p], i, float(s)) for p, i, s in model.pieces)]
+    rows = [("", len(model.pieces), 0, 0.0), *((p, model.ranks[p], i, float(s)) for p, i, s in model.pieces if len(p) > 1 or ord(p) >= low)]
     pieces = spark.createDataFrame(rows, "own string, rank long, id int, score double").withColumn("key", F.xxhash64("own"))
     # joined by their hashes, as numbers, and then compared; a model's pieces have the vocabulary's fixed size
     same = F.startswith("piece", F.col("own")) & F.startswith("own", F.col("piece"))
-    found = substrings(words, model.longest).withColumn("at", F.xxhash64("piece")).join(F.broadcast(pieces), (F.col("at") == F.col("key")) & same)
-    packed = F.expr("shiftleft(rank, 43) | shiftleft(cast(start as long), 29) | shiftleft(cast(len as long), 19) | id")
+    # in the order of words, which explode and join keep, so that edges are grouped as they come
+    ordered = words.sortWithinPartitions("word")
+    found = substrings(ordered, model.longest, low).withColumn("at", F.xxhash64("piece")).join(F.broadcast(pieces), (F.col("at") == F.col("key")) & same)
+    packed = F.expr("shiftleft(rank, 38) | shiftleft(cast(start as long), 24) | shiftleft(cast(len as long), 19) | id")
     edge = F.struct((F.col("start") + 1).alias("start"), "len", "id", "score") if model.unigram else packed
     return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("n", F.length("word"))
 
@@ -191,18 +196,25 @@ def _bytes_ids(chars: Column, model: Model) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.get(ids, F.conv(F.substr(raw, i, F.lit(2)), 16, 10).cast("int")))
 
 
-#: The state m of a fold in the bits of a number: the places that edge x spans are x.w, its ends x.t.
-_WINDOW, _ENDS = f"shiftleft(shiftrightunsigned(-1L, 63 - {_L}), {_S})", f"(shiftleft(1L, {_S}) | shiftleft(1L, {_S} + {_L}))"
+def _numbers(values: Iterator[int], kind: str) -> str:
+    """SQL of a constant array."""
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"
+
+
+#: The state m of a fold in the bits of a number: the places that edge x spans are x.w, its ends x.t; looked up by the edge's start and length.
+_SPANS = [(i >> 5, i & _LEN) for i in range((BITS + 1) << 5)]
+_W, _T = (_numbers((x if x < 1 << 63 else 0 for x in v), "bigint") for v in (((2 << n) - 1 << s for s, n in _SPANS), (1 << s | 1 << s + n for s, n in _SPANS)))
+_AT = f"cast(shiftright(e, 19) & {(64 << 5) - 1} as int)"
 IN_BITS = {
-    "edges": f"transform(slice(edges, 1, size(edges) - 1), e -> struct(e, {_WINDOW} as w, {_ENDS} as t))", "every": "shiftrightunsigned(-1L, 63 - n)",
-    "joins": "bit_count(m & x.w) = 3 and (m & x.t) = x.t", "behind": "(m & ~x.w) | x.t", "piece": "(m & x.w) = x.t", "ends": "(shiftrightunsigned(m, i) & 1L) = 1", "pieces": "bit_count(m) - 1",
+    "edges": f"transform(slice(edges, 1, size(edges) - 1), e -> struct(e, get({_W}, {_AT}) as w, get({_T}, {_AT}) as t))", "every": "shiftrightunsigned(-1L, 63 - n)",
+    "joins": "bit_count(m & x.w) = 3 and (m & x.t) = x.t", "behind": "(m & ~x.w) | x.t", "piece": "(m & x.w) = x.t", "ends": "(shiftrightunsigned(m, i) & 1L) = 1", "alone": "(shiftrightunsigned(m, i) & 3L) = 3", "pieces": "bit_count(m) - 1",
 }
 #: And in a string of 0 and 1, for longer parts.
 _SPAN = "substr(m, x.s + 1, x.l + 1)"
 IN_STRING = {
     "edges": f"transform(slice(edges, 1, size(edges) - 1), e -> struct(e, {_S} as s, {_L} as l))", "every": "repeat('1', n + 1)",
     "joins": f"x.l > 1 and startswith({_SPAN}, '1') and endswith({_SPAN}, '1') and length(replace({_SPAN}, '0', '')) = 3", "behind": "concat(substr(m, 1, x.s + 1), repeat('0', x.l - 1), substr(m, x.s + x.l + 1))",
-    "piece": f"{_SPAN} = concat('1', repeat('0', x.l - 1), '1')", "ends": "substr(m, i + 1, 1) = '1'", "pieces": "length(replace(m, '0', '')) - 1",
+    "piece": f"{_SPAN} = concat('1', repeat('0', x.l - 1), '1')", "ends": "substr(m, i + 1, 1) = '1'", "alone": "substr(m, i + 1, 2) = '11'", "pieces": "length(replace(m, '0', '')) - 1",
 }
 
 
@@ -213,9 +225,13 @@ def _folded(model: Model, p: dict[str, str]) -> Column:
     again = f"aggregate(sequence(1, n), {p['every']}, (m, i) -> coalesce({first}, m))"
     late = " or ".join(f"contains(word, '{q}')" for q in model.late)
     m = f"if({late}, {again}, {once})" if late else once
-    kept = f"array_sort(transform(filter(d, x -> {p['piece']}), x -> x.e & {(1 << 43) - 1}))"
+    low = {ord(p): i for p, i, _ in model.pieces if len(p) == 1 and ord(p) < _LOW}
+    low = _numbers((low.get(c, -1) for c in range(_LOW)), "int")
+    single = f"coalesce(get({low}, ascii(substr(word, i + 1, 1))), -1)"
+    singles = f"filter(transform(filter(sequence(0, n - 1), i -> {p['alone']}), i -> if({single} < 0, -1L, shiftleft(cast(i as long), 24) | {1 << 19} | {single})), e -> e >= 0)"
+    kept = f"sort_array(concat(transform(filter(d, x -> {p['piece']}), x -> x.e & {(1 << 38) - 1}), {singles}))"
     at = f"transform(filter(sequence(0, n - 1), i -> {p['ends']}), i -> struct(get(filter(k, e -> {_S} = i), 0) as e, substr(word, i + 1, 1) as c))"
-    # nested transforms of one element name what is used more than once
+    # transforms of arrays of one name what is used more than once
     return F.expr(f"get(transform(array({p['edges']}), d -> get(transform(array({m}), m -> get(transform(array({kept}), k -> struct(if(size(k) = {p['pieces']}, transform(k, e -> {_I}), null) as ids, if(size(k) = {p['pieces']}, null, {at}) as at)), 0)), 0)), 0)")
 
 
@@ -433,13 +449,14 @@ def _prepared(docs: DataFrame, model: Model) -> Texts:
     # by the same exchange as below: with the blocks in it, the words are not another one
     words = met.groupBy("word").agg(F.min("block").alias("least")).where("least is not null").select("word")
     found = met.dropDuplicates(["word", "block"]).join(encode_words(words, model), "word").select("block", "word", "ids")
-    limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(limit)
-    spark.conf.set(limit, str(GROUPED))
+    # edges come in the order of their words: a hash map of them is slower and holds more
+    hashed = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(hashed)
+    spark.conf.set(hashed, "false")
     try:
         found.repartition("block").write.partitionBy("block").parquet(path)
     finally:
-        spark.conf.set(limit, before)
+        spark.conf.set(hashed, before)
     return Texts(rows, text, block, path)
 
 
