@@ -8,14 +8,17 @@ of the tokens it expands to. Conversations are written as
     <|turn|>role\ncontent<|end|>\n
 
 Inside a text every backslash is doubled and every control string, of this
-template or another common one, gets a backslash behind its first character:
-no control string is left, and removing one backslash of each brings the text
-back. Placeholders are written after that, so they stay control strings.
+template or another common one, gets a backslash behind its first character,
+also where two of them overlap: no control string is left, and removing one
+backslash of each brings the text back. Text parts that follow each other are
+joined before, so that none can come of two of them. Placeholders are written
+after that, so they stay control strings.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -28,33 +31,49 @@ from pyspark.sql import functions as F
 TURN, END = "<|turn|>", "<|end|>"
 #: Control strings of common chat templates; any <| opens one too.
 CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>", "<bos>", "<eos>")
-_ESCAPED = re.compile("|".join(map(re.escape, ("\\", *CONTROLS))))
+_ESCAPED = re.compile("|".join((r"\\", *(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROLS))))
 _UNESCAPED = re.compile(r"\\(.)", re.S)
 #: Tokens: one for each image patch of so many pixels square, of so many milliseconds of audio, and for each page of a document.
 IMAGE_PATCH, AUDIO_MS, PAGE_TOKENS = 28, 40, 512
 
 
 def escape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
+    return _ESCAPED.sub(lambda m: m[0] + "\\", text)
 
 
 def unescape(text: str) -> str:
     return _UNESCAPED.sub(r"\1", text)
 
 
+def escape_role(role: str) -> str:
+    """A role in one line: a line feed becomes a backslash and an n, which no escape of a control string is."""
+    return escape(role).replace("\n", "\\n")
+
+
+def unescape_role(role: str) -> str:
+    return _UNESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
+
+
 @dataclass
 class Flat:
     """What the visitor makes of one conversation's parts."""
 
     attachments: list[tuple[str, str, int]] = field(default_factory=list)
 
-    def visit(self, part: dict | str | None) -> str:
-        if part is None or isinstance(part, str):
-            return escape(part or "")
-        return getattr(self, f"visit_{part.get('type') or 'text'}")(part)
-
-    def visit_text(self, part: dict) -> str:
-        return escape(part.get("text") or "")
+    def content(self, parts: list[dict | str | None]) -> str:
+        """A turn's content; runs of text parts are escaped as one text. A part of an unknown type is an attachment of that type without tokens."""
+        placed = {"image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        kind = lambda p: "text" if p is None or isinstance(p, str) else p.get("type") or "text"
+        out = []
+        for is_text, run in itertools.groupby(parts, lambda p: kind(p) == "text"):
+            if is_text:
+                out.append(escape("".join((p if isinstance(p, str) else (p or {}).get("text")) or "" for p in run)))
+            else:
+                out += [placed.get(kind(p), self.visit_other)(p) for p in run]
+        return "".join(out)
+
+    def visit_other(self, part: dict) -> str:
+        return self._placed("other", part, 0)
 
     def visit_image(self, part: dict) -> str:
         sides = (part.get("width") or IMAGE_PATCH, part.get("height") or IMAGE_PATCH)
@@ -75,8 +94,8 @@ def format_turns(turns: list[tuple[str, list]]) -> tuple[str, list[tuple[int, in
     """The written conversation, the spans of it that take loss (assistant contents), and its attachments."""
     out, spans, at, flat = [], [], 0, Flat()
     for role, parts in turns:
-        head = f"{TURN}{escape(role)}\n"
-        body = "".join(map(flat.visit, parts))
+        head = f"{TURN}{escape_role(role)}\n"
+        body = flat.content(parts)
         if role == "assistant":
             spans.append((at + len(head), at + len(head) + len(body)))
         out += [head, body, END, "\n"]
@@ -85,11 +104,11 @@ def format_turns(turns: list[tuple[str, list]]) -> tuple[str, list[tuple[int, in
 
 
 def parse_turns(written: str) -> list[tuple[str, str]]:
-    """(role, content) of each turn, read back from a written conversation. A role holds no line feed."""
+    """(role, content) of each turn, read back from a written conversation."""
     out = []
     for piece in written.split(f"{END}\n")[:-1]:
         role, _, content = piece.removeprefix(TURN).partition("\n")
-        out.append((unescape(role), unescape(content)))
+        out.append((unescape_role(role), unescape(content)))
     return out
 
 
@@ -113,7 +132,7 @@ def _gathered(turns: DataFrame) -> DataFrame:
 
 
 def _turns_of(turns: list[dict]) -> list[tuple[str, list]]:
-    return [(t["role"].replace("\n", " "), t["parts"] if t["parts"] else [t["text"]]) for t in turns]
+    return [(t["role"], t["parts"] if t["parts"] else [t["text"]]) for t in turns]
 
 
 def formatted(turns: DataFrame) -> DataFrame:
@@ -157,11 +176,11 @@ def with_probe(turns: DataFrame) -> DataFrame:
     return own.unionByName(probe)
 
 
-#: Escapes add a character for each backslash and each control string, matched from the left.
+#: Escapes add a character for each backslash and each control string, also where two overlap.
 ORACLE = """
 with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations
   union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
-e as (select *, len(regexp_extract_all(text, '\\\\|<\\||\\|>|</?s>|\\[/?INST\\]|<</?SYS>>|<start_of_turn>|<end_of_turn>|<bos>|<eos>')) as escapes from t)
+e as (select *, list_sum([(length(text) - length(replace(text, c, ''))) // length(c) for c in ['\\', '<|', '|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<start_of_turn>', '<end_of_turn>', '<bos>', '<eos>']]) as escapes from t)
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,

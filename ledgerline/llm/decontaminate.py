@@ -25,7 +25,7 @@ from .common import keyed_rows, packed, saved, text_of
 #: Token places that count.
 MASKS = ((0, 1, 3, 4, 5, 6, 7), (0, 1, 3, 5, 8, 9, 10))
 WINDOW, SUBSTITUTED = 20, 0.15
-#: Items of fewer tokens hold too little to tell a copy by; the first mask spans as many.
+#: Items of fewer tokens, which no mask fits, are looked for whole, by one hash of all their tokens.
 MIN_TOKENS = 8
 #: Items of fewer tokens than this must agree in every token.
 TOLERANT = 15
@@ -38,26 +38,37 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
+def _seeds(rows: DataFrame, keep: list[str], masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
     """rows with tokens w, exploded to seed, place: a row for each start and mask that fits."""
     rows = rows.select(*keep, F.size("w").alias("size"), F.posexplode("w").alias("place", "_token"))
     # get(w, i) is null behind the end, so the last counted place tells if the mask fits
     hashed = [
-        F.when(F.col("place") + m[-1] < F.col("size"), F.xxhash64(F.lit(i), *(F.get(F.col("w"), F.col("place") + c) for c in m)))
-        for i, m in enumerate(MASKS)
+        F.when(F.col("place") + m[-1] < F.col("size"), F.xxhash64(F.lit(len(m)), F.lit(m[-1]), *(F.get(F.col("w"), F.col("place") + c) for c in m)))
+        for m in masks
     ]
     return rows.withColumn("seed", F.explode(F.array(*hashed))).where("seed is not null")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """r1, r2 (key of doc_id and text), item_id, overlap: the best window's share of equal tokens for each document and item that meet the bound."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).where(F.size("w") >= MIN_TOKENS).distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).where(F.size("w") > 0).distinct()
     items = saved(items, "items")
-    seeds = saved(_seeds(items, ["item_id", "w"]).select("seed", "item_id", F.col("place").alias("item_place")).distinct(), "item-seeds")
+    # at most one mask for each length under MIN_TOKENS
+    lengths = sorted(r[0] for r in items.select(F.size("w")).where(F.size("w") < MIN_TOKENS).distinct().collect())
+    whole = tuple(tuple(range(n)) for n in lengths)
+    seeds = _seeds(items.where(F.size("w") >= MIN_TOKENS), ["item_id", "w"])
+    for m in whole:
+        seeds = seeds.unionByName(_seeds(items.where(F.size("w") == len(m)), ["item_id", "w"], (m,)))
+    seeds = saved(seeds.select("seed", "item_id", F.col("place").alias("item_place")).distinct(), "item-seeds")
     small = seeds.count() <= BROADCAST_ROWS
     rows = keyed_rows(docs, tokens(text_of(docs)).alias("w"))
-    hits = _seeds(rows, ["r1", "r2", "w"]).join(F.broadcast(seeds) if small else seeds, "seed")
-    hits = hits.select("r1", "r2", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "w")
+    if small:
+        hits = _seeds(rows, ["r1", "r2", "w"], MASKS + whole).join(F.broadcast(seeds), "seed")
+        hits = hits.select("r1", "r2", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "w")
+    else:  # tokens stay behind: only keys and places of hits are shuffled, and the tokens joined to what is left
+        hits = _seeds(rows, ["r1", "r2", "w"], MASKS + whole).select("r1", "r2", "place", "seed").join(seeds, "seed")
+        hits = hits.select("r1", "r2", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+        hits = hits.join(rows.dropDuplicates(["r1", "r2"]), ["r1", "r2"])
     item = items.select("item_id", F.col("w").alias("item"))
     hits = hits.join(F.broadcast(item) if small else item, "item_id")
     equal = F.transform("item", lambda t, i: F.when((F.col("shift") + i >= 0) & (F.get("w", F.col("shift") + i) == t), "1").otherwise("0"))

@@ -30,8 +30,8 @@ def exact_dedup(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
 
     The row with the largest doc_id of equal texts stays. A null text counts
     as empty, and all empty texts are equal. A null doc_id is smaller than any
-    other. Rows that repeat a doc_id with the same text count in group_size
-    and share one decision. Other columns of docs are ignored.
+    other. Of rows that repeat the largest doc_id of a group one stays; all count
+    in group_size. Other columns of docs are ignored.
     """
     text = text_of(docs)
     rows = docs.select(
@@ -74,8 +74,11 @@ def exact_dedup(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
         done.append(split.where("gid is null").drop("rest", "n", "gid"))
         rows = split.where("gid is not null").select("doc_id", "n", "text_sha256", "rest", "gid")
         k += 1
-    out = reduce(DataFrame.unionByName, done)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    out = reduce(DataFrame.unionByName, done).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    # rows that repeat a kept one are alike in all columns: they are counted, and all but one given back as not kept
+    alike = out.where("kept").groupBy("doc_id", "keep_id", "group_size", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    alike = alike.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("kept", F.col("i") == 1)
+    return out.where("not kept").unionByName(alike.select(*out.columns))
 
 
 ORACLE = """

@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import dropped, packed, saved, text_of
 
-#: Words that a line needs to be looked at, and to be looked at for near duplicates.
-MIN_WORDS, NEAR_WORDS = 5, 8
+#: Words that a line needs to be looked at (all lines but blank ones), and to be looked at for near duplicates.
+MIN_WORDS, NEAR_WORDS = 1, 8
+#: Words up to which hashes of a line's beginnings are made one by one; longer lines' are made in runs of as many.
+RUN = 64
 
 
 _BLANKS = " \t\r\x0b\f"
@@ -64,8 +66,16 @@ def _halves(n: Column, words: Column) -> Column:
 
 
 def _chain(hashes: Column) -> Column:
-    """Hashes of the first 0, 1, ... all of the words."""
-    return F.aggregate(hashes, F.array(F.lit(17).cast("long")), lambda acc, h: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), h))))
+    """Hashes of the first 0, 1, ... all of the words: XORs of the words' hashes with their places. Long lines go by runs of words, so that their time doesn't grow with the square of their length."""
+    none = F.array(F.lit(0).cast("long"))
+    grown = lambda xs: F.aggregate(xs, none, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(x))))
+    placed = F.transform(hashes, lambda h, i: F.xxhash64(h, i))
+    # a transform of an array of one binds what is used more than once
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    runs = bound(placed, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda k: grown(F.slice(p, k * RUN + 1, F.lit(RUN)))))
+    before = lambda rs: grown(F.transform(rs, lambda r: F.element_at(r, -1)))
+    joined = lambda rs: F.concat(none, F.flatten(F.zip_with(rs, F.slice(before(rs), F.lit(1), F.size(rs)), lambda r, b: F.transform(F.slice(r, F.lit(2), F.size(r) - 1), lambda x: x.bitwiseXOR(b)))))
+    return F.when(F.size(hashes) <= RUN, grown(placed)).otherwise(bound(runs, joined))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -130,8 +140,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     A line repeats an earlier one of any document that is equal or differs by
     one word inserted, deleted or substituted, whether or not that earlier line
-    stays itself. Words are split at blanks. Lines under min_words words and
-    blank ones always stay; lines under NEAR_WORDS words go as exact repeats only. emptied marks
+    stays itself. Words are split at blanks. Blank lines always stay (and lines
+    under min_words words); lines under NEAR_WORDS words go as exact repeats only. emptied marks
     rows that lost a line and keep no word. Null and empty texts have nothing
     to lose and come back as they are. Identical rows share one decision.
     Columns of other names, including n_lines, n_dropped or emptied, come back
@@ -162,7 +172,7 @@ def line_report(docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 with l as (select doc_id, i - 1 as no, ls[i] as line, list_filter(string_split_regex(ls[i], '[ \t\r\x0B\f]+'), lambda x: x <> '') as w
   from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents), range(1, len(ls) + 1) t(i)),
-k as (select *, array_to_string(w, ' ') as k, len(w) as n, struct_pack(d := doc_id, o := no) as pos from l where len(w) >= 5),
+k as (select *, array_to_string(w, ' ') as k, len(w) as n, struct_pack(d := doc_id, o := no) as pos from l where len(w) >= 1),
 f as (select k, any_value(w) as w, any_value(n) as n, min(pos) as first from k group by k),
 v as (select k, first, p, case when p < 0 then k else array_to_string(w[1:p] || w[p + 2:], ' ') end as v from f, range(-1, n) t(p) where n >= 8),
 g as (select v, p, min(first) as m from v group by v, p),

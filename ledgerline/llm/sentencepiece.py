@@ -47,11 +47,11 @@ from .common import saved, shared_dir, text_of
 
 MARK = "▁"
 #: Bytes of input files that share a dictionary.
-BLOCK_BYTES = 128 << 20
+BLOCK_BYTES = 64 << 20
 #: Characters of the longest part that is encoded by relations, and of those whose fold keeps its places in the bits of one number.
 LONGEST_WORD, BITS = 4096, 62
 #: Bytes of text that a task encodes at once, and parts that it gathers before it sends them on.
-SLICE_BYTES, GATHERED = 16 << 20, 1_500_000
+SLICE_BYTES, GATHERED = 8 << 20, 800_000
 #: What an unknown character costs below the lowest score, in a unigram model.
 UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6

@@ -119,15 +119,18 @@ class Trees:
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the nondecreasing step fit of y by raw (pooled adjacent violators); between knots it is linear."""
+    """Knots of the nondecreasing step fit of y by raw (pooled adjacent violators; equal raw scores are one point); between knots it is linear."""
     blocks: list[list[float]] = []
-    for r, v in sorted(zip(raw.tolist(), y.tolist(), strict=True)):
-        blocks.append([v, 1.0, r, r])
+    points, of = np.unique(raw, return_inverse=True)
+    n = np.bincount(of)
+    for r, v, k in zip(points.tolist(), (np.bincount(of, y) / n).tolist(), n.tolist(), strict=True):
+        blocks.append([v, float(k), r, r])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             v2, n2, _, high = blocks.pop()
             v1, n1, low, _ = blocks.pop()
             blocks.append([(v1 * n1 + v2 * n2) / (n1 + n2), n1 + n2, low, high])
-    return np.array([x for b in blocks for x in b[2:]]), np.array([x for b in blocks for x in (b[0], b[0])])
+    ends = [(x, b[0]) for b in blocks for x in sorted({b[2], b[3]})]
+    return np.array([x for x, _ in ends]), np.array([v for _, v in ends])
 
 
 @dataclass
@@ -193,9 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         sample.unpersist()
     x, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows], float)
     learned.trees = Trees().fit(x, y)
-    fold, raw = np.arange(len(y)) % FOLDS, np.zeros(len(y))
+    fold, raw = np.empty(len(y), int), learned.trees.raw(x)
+    for label in (0, 1):  # dealt by label, so that a fold lacks one only if it has fewer than two rows
+        fold[y == label] = np.arange((y == label).sum()) % FOLDS
     for k in range(FOLDS):
-        if len(set(y[fold != k])) == 2:
+        if len(set(y[fold != k])) == 2:  # else the scores of the trees of all rows stand in
             raw[fold == k] = Trees().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
     learned.knots = isotonic(raw, y)
     return learned
