@@ -43,7 +43,10 @@ def canonicalize(value: object, path: str = "$") -> str:
     if isinstance(value, str):
         return json.dumps(value, ensure_ascii=False)
     if isinstance(value, (int, float)):
-        return number(value, path)
+        try:
+            return number(float(value), path)
+        except OverflowError as e:
+            raise NotJson(f"{path}: beyond a double") from e
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(canonicalize(v, f"{path}[{i}]") for i, v in enumerate(value)) + "]"
     if isinstance(value, dict):
@@ -59,10 +62,23 @@ def digest(value: object) -> str:
 
 
 def canonical(text: Column) -> Column:
-    """Canonical form of a JSON text; null for null."""
+    """Struct of canonical (the canonical form of a JSON text) and problem (why there is none); both null for null."""
 
-    def read(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else canonicalize(json.loads(t)))
+    def form(text: str | None) -> tuple[str | None, str | None]:
+        if text is None:
+            return None, None
+        try:
+            return canonicalize(json.loads(text)), None
+        except (ValueError, RecursionError) as e:
+            return None, "not JSON" if isinstance(e, json.JSONDecodeError) else str(e) or type(e).__name__
 
-    read.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(read, "string")(text)
+    def read(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([form(t) for t in texts], columns=["canonical", "problem"])
+
+    read.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(read, "canonical string, problem string")(text)
+
+
+def digest_of(canonical: Column) -> Column:
+    """Digest of a canonical text."""
+    return F.sha2(canonical, 256)

@@ -21,6 +21,19 @@ def idempotency_step(state: tuple | None, at: float, fingerprint: str, retention
     return state, "replay" if state[1] == fingerprint else "reused"
 
 
+def request_step(state: tuple | None, at: float, kind: str, fingerprint: str, retention: float = RETENTION_S) -> tuple[tuple | None, str]:
+    """State (expiry, fingerprint, done) and outcome of a begin (owned, replay, reused or in_flight), a complete (completed or unknown) or a fail, which frees the key (released or unknown)."""
+    if state is not None and at >= state[0]:
+        state = None
+    if kind == "begin":
+        if state is None:
+            return (at + retention, fingerprint, False), "owned"
+        return state, "reused" if state[1] != fingerprint else "replay" if state[2] else "in_flight"
+    if state is None or state[2]:
+        return state, "unknown"
+    return ((state[0], state[1], True), "completed") if kind == "complete" else (None, "released")
+
+
 def rate_step(state: tuple | None, at: float, limit: int, window: float = WINDOW_S) -> tuple[tuple, tuple[bool, int]]:
     """State (window's start, count) and (allowed, seconds to wait). A window starts at its first event."""
     if state is None or at >= state[0] + window:
@@ -59,6 +72,16 @@ def idempotency_outcomes(requests: DataFrame, retention: float = RETENTION_S) ->
     return folded(requests, ["key"], ["at_s", "id"], "key string, id long, outcome string", step)
 
 
+def request_outcomes(requests: DataFrame, retention: float = RETENTION_S) -> DataFrame:
+    """key, id, outcome of requests (key, id, at_s, kind, fingerprint) in order of time and id."""
+
+    def step(state, row):
+        state, outcome = request_step(state, row.at_s, row.kind, row.fingerprint, retention)
+        return state, (row.key, row.id, outcome)
+
+    return folded(requests, ["key"], ["at_s", "id"], "key string, id long, outcome string", step)
+
+
 def rate_decisions(requests: DataFrame, limit: int, window: float = WINDOW_S) -> DataFrame:
     """key, id, allowed, retry_after of requests (key, id, at_s)."""
 

@@ -32,3 +32,32 @@ def release(failed: DataFrame, as_of: Column) -> DataFrame:
 def owned(jobs: DataFrame, worker: str) -> DataFrame:
     """Jobs that a worker may still complete, renew or fail."""
     return jobs.where((F.col("state") == "ACTIVE") & (F.col("claimed_by") == worker))
+
+
+def enqueued(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """Jobs (id, tenant, queue, key and others) to append: one for each (tenant, queue, key), and none that exists; a null key never counts as a repeat."""
+    keys = ["tenant", "queue", "key"]
+    first = wanted.where("key is not null").groupBy(*keys).agg(F.min_by(F.struct(*wanted.columns), "id").alias("j")).select("j.*")
+    return first.join(existing.where("key is not null").select(*keys), keys, "left_anti").unionByName(wanted.where("key is null"))
+
+
+def fenced(jobs: DataFrame, reports: DataFrame, as_of: Column, lease_s: int = 300) -> DataFrame:
+    """reports (id, worker, outcome: complete, renew or fail) and what they make of active jobs that the worker holds: accepted, state, lease_expires_at, wait_s. Reports of others change nothing."""
+    out = reports.join(jobs.select("id", F.col("state").alias("_state"), "claimed_by", "attempts", "max_attempts", F.col("lease_expires_at").alias("_lease")), "id")
+    mine = F.coalesce((F.col("_state") == "ACTIVE") & (F.col("claimed_by") == F.col("worker")), F.lit(False))
+    dead, failed = F.col("attempts") >= F.col("max_attempts"), mine & (F.col("outcome") == "fail")
+    state = F.when(mine & (F.col("outcome") == "complete"), "COMPLETED").when(failed, F.when(dead, "DEAD").otherwise("PENDING")).otherwise(F.col("_state"))
+    lease = F.when(mine & (F.col("outcome") == "renew"), as_of + F.make_interval(secs=F.lit(lease_s))).when(mine, None).otherwise(F.col("_lease"))
+    return out.select("id", "worker", "outcome", mine.alias("accepted"), state.alias("state"), lease.alias("lease_expires_at"), F.when(failed & ~dead, backoff_seconds(F.col("attempts"))).alias("wait_s"))
+
+
+def poll_wait_ms(failures: Column, poll_ms: int, most_ms: int = 30_000, cap: int = 10) -> Column:
+    """How long a worker waits after so many failed polls in a row."""
+    return F.least(F.lit(most_ms), poll_ms * F.pow(F.lit(2), F.least(failures, F.lit(cap)))).cast("long")
+
+
+def depths(jobs: DataFrame, as_of: Column) -> DataFrame:
+    """queue, pending, dead, oldest_wait_s: how deep queues are and how long their oldest due job has waited."""
+    due = (F.col("state") == "PENDING") & (F.col("run_after") <= as_of)
+    waited = F.max(F.when(due, F.timestamp_diff("SECOND", F.col("run_after"), as_of)))
+    return jobs.groupBy("queue").agg(F.count_if(F.col("state") == "PENDING").alias("pending"), F.count_if(F.col("state") == "DEAD").alias("dead"), waited.alias("oldest_wait_s"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import lineage
+
 #: Allowed moves between run states.
 TRANSITIONS = (
-    ("OPEN", "SEALED"), ("OPEN", "ABANDONED"), ("OPEN", "QUARANTINED"), ("SEALED", "PROCESSING"), ("PROCESSING", "PROCESSED"), ("PROCESSING", "FAILED"), ("FAILED", "PROCESSING"),
+    ("OPEN", "SEALED"), ("OPEN", "ABANDONED"), ("OPEN", "QUARANTINED"), ("SEALED", "PROCESSING"), ("PROCESSING", "PROCESSED"), ("PROCESSING", "PROCESSING_FAILED"), ("PROCESSING_FAILED", "PROCESSING"),
 )
 SUPERSEDE_DEPTH = 64
 
@@ -35,16 +37,10 @@ def seal_blockers(entries: DataFrame, verified: Column) -> DataFrame:
 
 def supersede_chain(runs: DataFrame, starts: DataFrame, most: int = SUPERSEDE_DEPTH) -> DataFrame:
     """start, run, depth, direction over runs (run, supersedes), nearest first, both ways."""
-    spark: SparkSession = runs.sparkSession
-    runs.select("run", "supersedes").createOrReplaceTempView("_ledgerline_runs")
-    starts.select("run").distinct().createOrReplaceTempView("_ledgerline_starts")
-    one = lambda here, there, name: f"""
-      select start, run, depth, '{name}' as direction from (
-        with recursive w(start, run, depth) as (
-          select run, run, 0 from _ledgerline_starts
-          union all select w.start, r.{there}, w.depth + 1 from w join _ledgerline_runs r on r.{here} = w.run where w.depth < {most} and r.{there} is not null)
-        select * from w) where depth > 0"""
-    return spark.sql(one("run", "supersedes", "ancestor") + " union all " + one("supersedes", "run", "descendant"))
+    link = runs.where("supersedes is not null").select(F.col("run").alias("source"), F.col("supersedes").alias("target"), F.col("run").alias("derivation"), F.lit("supersedes").alias("role"))
+    first = starts.select(F.col("run").alias("artifact")).distinct()
+    ways = (lineage.walk(link, first, most, down=down, most=most).where("depth > 0").select("start", F.col("artifact").alias("run"), "depth", F.lit(name).alias("direction")) for name, down in (("ancestor", False), ("descendant", True)))
+    return reduce(DataFrame.unionByName, ways)
 
 
 def violations(checks: dict[str, tuple[DataFrame, Column]]) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIB = 1 << 20
 PREFERRED, MOST_PARTS, LEAST_PART, MOST_PART = 64 * MIB, 10_000, 5 * MIB, 5 << 30
 INSPECTED, SNIFFED_LINES = 16 * MIB, 64
+_SNIFFED = ["kind", "width", "height", "bit_depth", "colour_type"]
 
 
 def part_size(size: Column, preferred: int = PREFERRED, parts: int = MOST_PARTS) -> Column:
@@ -21,6 +22,60 @@ def part_count(size: Column, each: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.ceil(size / each).cast("long"))
 
 
+def plan_problem(size: Column, preferred: int = PREFERRED) -> Column:
+    """Why an object can't be uploaded in parts: a preferred part below the least size, no size, or parts beyond the largest; else null."""
+    return F.when(F.lit(preferred < LEAST_PART), "preferred_too_small").when(size.isNull() | (size < 0), "size").when(part_size(size, preferred) > MOST_PART, "object_too_large")
+
+
+def begun(entries: DataFrame, artifacts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """entries (id, digest, size and others) with action: present (an artifact of that digest and size exists), size_mismatch (of another size), resume (an open session) or open; and the artifact."""
+    known = artifacts.select("digest", F.col("size").alias("_size"), "artifact")
+    opened = sessions.where("state = 'OPEN'").select("id").distinct().withColumn("_session", F.lit(True))
+    out = entries.join(known, "digest", "left").join(opened, "id", "left")
+    action = F.when(F.col("_size") == F.col("size"), "present").when(F.col("_size").isNotNull(), "size_mismatch").when(F.col("_session"), "resume").otherwise("open")
+    return out.withColumn("action", action).select(*entries.columns, "action", "artifact")
+
+
+def resolved_parts(recorded: DataFrame, provided: DataFrame) -> DataFrame:
+    """id, part_number, etag: recorded parts, overlaid by those that the caller provides; etags without quotes."""
+    a = recorded.select("id", "part_number", F.col("etag").alias("_a"))
+    b = provided.select("id", "part_number", F.col("etag").alias("_b"))
+    return a.join(b, ["id", "part_number"], "full").select("id", "part_number", unquoted(F.coalesce("_b", "_a")).alias("etag"))
+
+
+def recorded_parts(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    """id, recorded, total_parts: how many distinct parts of each session its part events (id, part_number, etag, at) hold."""
+    n = events.groupBy("id", "part_number").agg(F.max_by("etag", "at").alias("etag")).groupBy("id").agg(F.count(F.lit(1)).alias("recorded"))
+    return sessions.select("id", "total_parts").join(n, "id", "left").withColumn("recorded", F.coalesce("recorded", F.lit(0).cast("long")))
+
+
+def to_presign(missing: DataFrame, most: int = 512) -> DataFrame:
+    """The first parts of each session that are presigned at once."""
+    order = Window.partitionBy("id").orderBy("part_number")
+    return missing.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+
+def bound(verified: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """verified entries (id, run, digest, size) with the artifact of their digest: the existing one, or the smallest id of the entries that bring it, and whether this entry creates it."""
+    first = verified.groupBy("digest").agg(F.min("id").alias("_first"))
+    out = verified.join(first, "digest").join(artifacts.select("digest", "artifact"), "digest", "left")
+    return out.withColumns({"created": F.col("artifact").isNull() & (F.col("id") == F.col("_first")), "artifact": F.coalesce("artifact", "_first")}).drop("_first")
+
+
+def unquoted(etag: Column) -> Column:
+    return F.trim(F.regexp_replace(etag, '^"|"$', ""))
+
+
+def suffix_split(path: Column) -> tuple[Column, Column]:
+    """A path's logical name and the operation behind its last slash; null without one."""
+    return F.nullif(F.regexp_extract(path, r"(?s)^(.+)/([^/]+)\z", 1), F.lit("")), F.nullif(F.regexp_extract(path, r"(?s)^(.+)/([^/]+)\z", 2), F.lit(""))
+
+
+def download_name(first_binding: Column, digest: Column) -> Column:
+    """The last segment of an artifact's first name, else its digest."""
+    return F.coalesce(F.nullif(F.element_at(F.split(first_binding, "/"), -1), F.lit("")), F.concat(digest, F.lit(".bin")))
+
+
 def outstanding(sessions: DataFrame, recorded: DataFrame) -> DataFrame:
     """id, part_number that sessions (id, total_parts) still lack."""
     return sessions.select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total_parts"))).alias("part_number")).join(recorded, ["id", "part_number"], "left_anti")
@@ -51,10 +106,10 @@ def is_plain(text: Column) -> Column:
     return ~text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
 
 
-def sniff_bytes(content: bytes | None) -> tuple[str, int | None, int | None]:
-    """(tiff | png | text | unknown, width, height)."""
+def sniff_bytes(content: bytes | None) -> tuple[str, int | None, int | None, int | None, int | None]:
+    """(tiff | png | text | unknown, width, height, and a PNG's bit depth and colour type)."""
     if content is None or len(content) > INSPECTED:
-        return "unknown", None, None
+        return "unknown", None, None, None, None
     try:
         order = {b"II": "<", b"MM": ">"}.get(content[:2])
         if order and struct.unpack_from(order + "H", content, 2)[0] == 42:
@@ -64,20 +119,20 @@ def sniff_bytes(content: bytes | None) -> tuple[str, int | None, int | None]:
                 tag, kind = struct.unpack_from(order + "HH", content, at + 2 + 12 * i)
                 if tag in (0x100, 0x101) and kind in (3, 4):
                     sides[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), content, at + 10 + 12 * i)[0]
-            return "tiff", sides.get(0x100), sides.get(0x101)
+            return "tiff", sides.get(0x100), sides.get(0x101), None, None
         if content[:8] == b"\x89PNG\r\n\x1a\n" and content[12:16] == b"IHDR":
-            return "png", *struct.unpack_from(">II", content, 16)
+            return "png", *struct.unpack_from(">IIBB", content, 16)
         text = content.decode("utf-8")
-        return ("unknown" if any(ord(c) < 32 and c not in "\t\n\r" for c in text) else "text"), None, None
+        return ("unknown" if any(ord(c) < 32 and c not in "\t\n\r" for c in text) else "text"), None, None, None, None
     except (struct.error, UnicodeDecodeError):
-        return "unknown", None, None
+        return "unknown", None, None, None, None
 
 
 def sniff(content: Column) -> Column:
-    """kind, width and height of each object's bytes."""
+    """kind, width, height, bit_depth and colour_type of each object's bytes."""
 
     def read(contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sniff_bytes(c) for c in contents], columns=["kind", "width", "height"]).astype({"width": "Int64", "height": "Int64"})
+        return pd.DataFrame([sniff_bytes(c) for c in contents], columns=_SNIFFED).astype(dict.fromkeys(_SNIFFED[1:], "Int64"))
 
     read.__annotations__ = {"contents": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(read, "kind string, width long, height long")(content)
+    return F.pandas_udf(read, "kind string, width long, height long, bit_depth long, colour_type long")(content)

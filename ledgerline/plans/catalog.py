@@ -6,13 +6,14 @@ an event of a user, an artifact a document, a manifest entry a line item.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digests
-from ..operators import chain, folds, jobs, lifecycle, lineage, paging, uploads
+from ..operators import chain, folds, jobs, lifecycle, lineage, paging, search, uploads
 from ..sources.tables import Scope, ScopedCatalog, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,16 +59,32 @@ def _listed(runs: DataFrame, limit: int | None = paging.DEFAULT) -> DataFrame:
     return runs.select("run_id", "study", "site", "state", digests.micros_text(F.col("acquired_at")).alias("acquired_at"))
 
 
+def _page(spark: SparkSession, d: str, wanted: search.Wanted) -> DataFrame:
+    """A page is cut from orders alone; names are joined to its rows."""
+    acquired = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate"))
+    runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("study"), F.col("o_orderstatus").alias("state"), acquired.alias("acquired_at"))
+    named = search.search(runs, wanted).withColumnRenamed("study", "key").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("key")).join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return named.select("run_id", F.col("c_name").alias("study"), F.col("n_name").alias("site"), "state", digests.micros_text(F.col("acquired_at")).alias("acquired_at"))
+
+
 @query(_RUNS + "order by runs.acquired_at desc nulls first, run_id desc limit 50")
 def run_search_page1(spark, d):
-    return _listed(_runs(spark, d))
+    return _page(spark, d, search.Wanted())
 
 
 @query(_RUNS + f"where runs.acquired_at is not null and (runs.acquired_at < timestamp '{_AT}' or (runs.acquired_at = timestamp '{_AT}' and run_id < 1000)) order by runs.acquired_at desc nulls first, run_id desc limit 50")
 def run_search_page2(spark, d):
-    at = F.lit(_AT).cast("timestamp_ntz")
-    key, ident = F.col("acquired_at"), F.col("run_id")
-    return _listed(_runs(spark, d).where(key.isNotNull() & ((key < at) | ((key == at) & (ident < 1000)))))
+    return _page(spark, d, search.Wanted(cursor=(datetime.datetime.fromisoformat(_AT), 1000)))
+
+
+@query(_RUNS + "where runs.acquired_at is not null or run_id < 100 order by runs.acquired_at desc nulls first, run_id desc limit 50")
+def run_search_null_cursor(spark, d):
+    return _page(spark, d, search.Wanted(cursor=(None, 100)))
+
+
+@query(_RUNS + "where state in ('F') and c_custkey = 5 and runs.acquired_at <= timestamp '1998-01-01' order by runs.acquired_at desc nulls first, run_id desc limit 50")
+def run_search_conditions(spark, d):
+    return _page(spark, d, search.Wanted(study=5, states=("F",), acquired_to=datetime.datetime(1998, 1, 1)))
 
 
 @query(_RUNS + "where state in ('F', 'P') and runs.acquired_at between timestamp '1995-01-01' and timestamp '1995-12-31'")
@@ -246,10 +263,40 @@ def lineage_truncated(spark, d):
     return lineage.truncated(lineage.walk(edges, _starts(spark), 3), edges, 3)
 
 
-@query()
+_ORIGINS = "(select o_orderkey - 1 as artifact, o_orderkey as run, o_orderkey % 7 as instrument, case when o_orderkey % 3 <> 0 then o_custkey end as usr, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ') as at_ from orders)"
+
+
+def _origins(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return table(spark, d, "orders").select((key - 1).alias("artifact"), key.alias("run"), (key % 7).alias("instrument"), F.when(key % 3 != 0, F.col("o_custkey")).alias("user"), digests.micros_text(F.col("o_orderdate")).alias("at"))
+
+
+_PROV = _walk_sql("source", "target", 16) + f""", own as (select e.* from e where derivation in (select derivation from walked)),
+  first as (select o.* from {_ORIGINS} o where o.artifact in (select artifact from walked) and o.artifact not in (select source from e)),
+  things as (select distinct 'entity' as section, 'run:artifact/' || artifact as id, '{{"prov:type":"Artifact","prov:label":"artifact ' || artifact || '"}}' as body from walked
+    union all select distinct 'activity', 'run:derivation/' || derivation, '{{"prov:type":"Computation","prov:label":"derivation ' || derivation || '"}}' from walked where derivation is not null
+    union all select distinct 'activity', 'run:run/' || run, '{{"prov:type":"Acquisition","prov:startTime":{{"$":"' || at_ || '","type":"xsd:dateTime"}}}}' from first
+    union all select distinct 'agent', 'run:instrument/' || instrument, '{{"prov:type":"prov:SoftwareAgent"}}' from first
+    union all select distinct 'agent', 'run:user/' || usr, '{{"prov:type":"prov:Person"}}' from first where usr is not null),
+  ties as (select distinct 'used' as section, '{{"prov:activity":"run:derivation/' || derivation || '","prov:entity":"run:artifact/' || target || '","prov:role":{{"$":"' || role || '","type":"xsd:string"}}}}' as body from own
+    union all select distinct 'wasGeneratedBy', '{{"prov:entity":"run:artifact/' || source || '","prov:activity":"run:derivation/' || derivation || '"}}' from own
+    union all select distinct 'wasGeneratedBy', '{{"prov:entity":"run:artifact/' || artifact || '","prov:activity":"run:run/' || run || '"}}' from first
+    union all select distinct 'wasDerivedFrom', '{{"prov:generatedEntity":"run:artifact/' || source || '","prov:usedEntity":"run:artifact/' || target || '"}}' from own
+    union all select distinct 'wasAssociatedWith', '{{"prov:activity":"run:run/' || run || '","prov:agent":"run:instrument/' || instrument || '"}}' from first
+    union all select distinct 'wasAssociatedWith', '{{"prov:activity":"run:run/' || run || '","prov:agent":"run:user/' || usr || '"}}' from first where usr is not null),
+  entries as (select * from things union all select section, '_:' || section || row_number() over (partition by section order by body), body from ties) """
+
+
+@query(_PROV + "select * from entries")
+def prov_entries(spark, d):
+    edges = _edges(spark, d)
+    return lineage.prov_entries(lineage.walk(edges, _starts(spark)), edges, _origins(spark, d))
+
+
+@query(_PROV + """select '{' || string_agg('"' || section || '":{' || inner_ || '}', ',' order by section) || '}' as document from (select section, string_agg('"' || id || '":' || body, ',' order by id) as inner_ from entries group by section)""")
 def prov_export(spark, d):
     edges = _edges(spark, d)
-    return lineage.prov_json(lineage.walk(edges, _starts(spark)), edges)
+    return lineage.prov_json(lineage.prov_entries(lineage.walk(edges, _starts(spark)), edges, _origins(spark, d)))
 
 
 @query("select 'run:run/' || o_orderkey as id, 'acquisition' as kind from orders union all select 'run:derivation/' || event_id, event_type from events")
@@ -460,3 +507,6 @@ def artifact_bindings(spark, d):
     own = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("artifact"), F.lit("manifest").alias("kind"), F.col("l_orderkey").alias("run"))
     derived = table(spark, d, "part").where("p_size > 25").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("p_partkey"))
     return own.unionByName(derived.select(F.col("p_partkey").alias("artifact"), F.lit("derived").alias("kind"), F.col("o_orderkey").alias("run")))
+
+
+from . import access, upkeep  # noqa: E402, F401  more queries of the same registry

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import canon
-from ledgerline.operators import chain, folds, paging, uploads
+from ledgerline.operators import chain, folds, lineage, paging, runs, search, uploads
 from ledgerline.sources.tables import Scope, ScopedCatalog
 from ledgerline.streaming import streams
 
@@ -84,10 +84,65 @@ def test_scope(spark, tmp_path):
 
 
 def test_sniffing(spark):
-    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 7, 9)
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 7, 9) + b"\x08\x02"
     tiff = b"II" + struct.pack("<HIH", 42, 8, 2) + struct.pack("<HHIHH", 0x100, 3, 1, 5, 0) + struct.pack("<HHII", 0x101, 4, 1, 6)
     df = spark.createDataFrame([(png,), (tiff,), (b"a,b\n",), (b"\0",), (None,)], "c binary")
-    assert [tuple(r.s) for r in df.select(uploads.sniff("c").alias("s")).collect()] == [("png", 7, 9), ("tiff", 5, 6), ("text", None, None), ("unknown", None, None), ("unknown", None, None)]
+    assert [tuple(r.s) for r in df.select(uploads.sniff("c").alias("s")).collect()] == [("png", 7, 9, 8, 2), ("tiff", 5, 6, None, None), *((k, None, None, None, None) for k in ("text", "unknown", "unknown"))]
     marks = spark.createDataFrame([("a,b\n1,2\n",), ("a\tb",), ("a;b\nc",), ("x|y\n\nz|w",)], "t string")
     assert [r[0] for r in marks.select(uploads.delimiter(F.col("t"))).collect()] == [",", "\t", None, "|"]
     assert hashlib.sha256(b"abc").hexdigest() == spark.range(1).select(F.sha2(F.lit("abc"), 256)).first()[0]
+
+
+def test_lineage_refuses_depths(spark):
+    edges = spark.createDataFrame([(2, 1, "a", "r")], "source long, target long, derivation string, role string")
+    for depth in (0, 33):
+        with pytest.raises(ValueError):
+            lineage.walk(edges, spark.createDataFrame([(2,)], "artifact long"), depth)
+
+
+def test_search_pages_and_reads(spark):
+    rows = [(i, i % 3, None if i % 4 == 0 else dt.datetime(2024, 1, 1 + i % 5)) for i in range(40)]
+    runs_ = spark.createDataFrame(rows, "run_id long, study long, acquired_at timestamp")
+    seen, cursor = [], None
+    while page := search.search(runs_, search.Wanted(cursor=cursor), limit=7).collect():
+        seen += [r.run_id for r in page]
+        cursor = (page[-1].acquired_at, page[-1].run_id)
+    assert len(seen) == len(set(seen)) == 40 and [rows[i][2] is None for i in seen] == [True] * 10 + [False] * 30
+    with pytest.raises(ValueError):
+        search.search(runs_, search.Wanted(), limit=201)
+    with pytest.raises(search.NotFound):
+        search.one(runs_, "run_id", 99)
+    assert search.one(runs_, "run_id", 5).count() == 1
+    nobody = search.visible_studies(Scope(1, None, None), runs_, runs_, runs_)
+    assert search.matching(runs_, search.Wanted(), nobody).isEmpty()
+
+
+def test_registration_seal_and_quarantine(spark):
+    asked = spark.createDataFrame([(1, 1, None), (2, 1, "x"), (3, 1, None)], "run long, study long, reason string")
+    problems = spark.createDataFrame([(1, None), (2, "study_closed"), (3, None)], "run long, problem string")
+    entries = spark.createDataFrame([(1, "a", "0" * 64, "1"), (2, "a", "0" * 64, "1"), (3, "a b", "0" * 64, "1")], "run long, name string, digest string, size string")
+    bad = runs.manifest_problems(entries)
+    assert [tuple(r) for r in bad.collect()] == [(3, "name")]
+    made, own, events_ = runs.registered(asked, entries, problems, bad, F.lit("2024-01-01").cast("timestamp"))
+    assert [(r.run, r.state) for r in made.collect()] == [(1, "OPEN")] and own.count() == events_.count() == 1
+    rejected, states = runs.quarantined(own, own.select("run", "name"), "digest")
+    assert [r.verification for r in rejected.collect()] == ["REJECTED"] and [r.state for r in states.collect()] == ["QUARANTINED"]
+    again = runs.moved(spark.createDataFrame([(1, "QUARANTINED")], "run long, state string"), spark.createDataFrame([(1, "QUARANTINED")], "run long, to string"), F.lit("2024-01-01").cast("timestamp")).first()
+    assert again.accepted and again.at is None
+    later = runs.superseding(spark.createDataFrame([(9, 1, "r"), (8, 2, "r"), (7, 7, "r"), (6, 1, None), (5, 4, "r")], "run long, supersedes long, reason string"), spark.createDataFrame([(1, "SEALED"), (2, "ABANDONED")], "run long, state string"))
+    assert {r.run: r.problem for r in later.collect()} == {9: None, 8: "open", 7: "self", 6: "no_reason", 5: "not_found"}
+
+
+def test_canonical_survives_bad_rows(spark):
+    rows = spark.createDataFrame([('{"b":1,"a":[1e3]}',), ("{",), (None,), ("1" + "0" * 400,), ("[NaN]",)], "t string")
+    out = [(r.c.canonical, r.c.problem is None) for r in rows.select(canon.canonical(F.col("t")).alias("c")).collect()]
+    assert out == [('{"a":[1000],"b":1}', True), (None, False), (None, True), (None, False), (None, False)]
+
+
+def test_request_states():
+    step = folds.request_step
+    state, said = step(None, 0, "begin", "a")
+    assert said == "owned" and step(state, 1, "begin", "a")[1] == "in_flight" and step(state, 1, "begin", "b")[1] == "reused"
+    done, said = step(state, 2, "complete", "a")
+    assert said == "completed" and step(done, 3, "begin", "a")[1] == "replay" and step(done, 3, "fail", "a") == (done, "unknown")
+    assert step(state, 2, "fail", "a") == (None, "released") and step(done, 86400, "begin", "b")[1] == "owned" and step(None, 0, "fail", "a") == (None, "unknown")
