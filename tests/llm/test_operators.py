@@ -152,6 +152,20 @@ def test_masks_leave_out_no_overlap():
             assert any(not {o + c for c in m} & set(subs) for m in decontaminate.MASKS for o in range(length - m[-1]))
 
 
+def items_in(text, items):
+    """Benchmark items, as lists of tokens by id, that a text holds, by laying each on every place."""
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    out = set()
+    for i, v in items.items():
+        span = min(decontaminate.WINDOW, len(v))
+        need = len(v) if len(v) < decontaminate.TOLERANT else span - int(span * decontaminate.SUBSTITUTED)
+        for shift in range(-len(v), len(w)):
+            eq = [0 <= shift + j < len(w) and w[shift + j] == x for j, x in enumerate(v)]
+            if any(sum(eq[j : j + span]) >= need for j in range(len(v) - span + 1)):
+                out.add(i)
+    return out
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     say = lambda n: [rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(n)]
@@ -166,18 +180,7 @@ def test_decontamination(spark):
         docs.append(" ".join(w[:at] + (part if k % 4 else []) + w[at:]))
     docs += [None, "", "a b", " ".join(items[0]), "x " + " ".join(items[8]) + "! y", " ".join(say(40) + items[20] + say(40)) * 300]
 
-    def found(text):
-        w = re.findall(r"[^\W_]+", (text or "").lower())
-        out = set()
-        for i, v in items.items():
-            span = min(decontaminate.WINDOW, len(v))
-            need = len(v) if len(v) < decontaminate.TOLERANT else span - int(span * decontaminate.SUBSTITUTED)
-            for shift in range(-len(v), len(w)):
-                eq = [0 <= shift + j < len(w) and w[shift + j] == x for j, x in enumerate(v)]
-                if any(sum(eq[j : j + span]) >= need for j in range(len(v) - span + 1)):
-                    out.add(i)
-        return out
-
+    found = lambda text: items_in(text, items)
     bench = spark.createDataFrame([(i, " ".join(v).upper() + ".", "x") for i, v in items.items()] + [(90, None, "x"), (91, "", "x")], "item_id long, text string, w string")
     out = by_id(decontaminate.contamination_report(frame(spark, docs), bench))
     shuffled = decontaminate.BROADCAST_ROWS
