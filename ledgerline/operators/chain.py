@@ -2,12 +2,18 @@
 
 append() folds each tenant's new events in order, as every hash needs the one
 before; verify() needs no fold: a row is checked by itself and its stored
-predecessor, and the first failure is a minimum. The two share no code.
+predecessor, which it meets by an equi-join, and the first failure is a
+minimum. So a tenant's log is verified by all tasks. The two share no code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digests import GENESIS, micros_text
@@ -16,55 +22,94 @@ ACTION = r"^[a-z]+(_[a-z]+)*\.[a-z]+(_[a-z]+)*$"
 
 
 def append(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """events (tenant, id, occurred_at, payload) with seq, payload_digest, prev_hash, hash; heads: tenant, last_seq, last_hash before them. Rows without a tenant are left out. A tenant's batch is folded in one task, as its hashes depend on each other."""
-    rows = events.where("tenant is not null").withColumn("payload_digest", F.sha2(F.coalesce("payload", F.lit("")), 256))
-    item = F.struct("occurred_at", "id", "payload", "payload_digest", micros_text(F.col("occurred_at")).alias("at"))
-    lists = rows.groupBy("tenant").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    if heads is not None:
-        lists = lists.join(heads.select("tenant", "last_seq", "last_hash"), "tenant", "left")
-    else:
-        lists = lists.withColumns({"last_seq": F.lit(0).cast("long"), "last_hash": F.lit(GENESIS)})
-    lists = lists.withColumns({"last_seq": F.coalesce("last_seq", F.lit(0).cast("long")), "last_hash": F.coalesce("last_hash", F.lit(GENESIS))})
+    """events (tenant, id, occurred_at, payload) with seq, payload_digest, prev_hash, hash; heads: tenant, last_seq, last_hash before them.
 
-    def link(acc, x):
-        seq = F.col("last_seq") + F.size(acc)
-        preimage = F.concat_ws("|", F.col("tenant").cast("string"), seq.cast("string"), F.element_at(acc, -1), x["payload_digest"], x["at"])
-        return F.concat(acc, F.array(F.sha2(preimage, 256)))
-
-    lists = lists.withColumn("hashes", F.aggregate("items", F.array("last_hash"), link))
-    out = lists.select("tenant", "last_seq", "hashes", F.posexplode("items").alias("i", "x"))
-    return out.select("tenant", (F.col("last_seq") + F.col("i") + 1).alias("seq"), "x.id", "x.occurred_at", "x.payload", "x.payload_digest", F.get("hashes", F.col("i")).alias("prev_hash"), F.get("hashes", F.col("i") + 1).alias("hash"))
+    Rows without a tenant are left out. A tenant's new events go through one task
+    in order of time, id and payload, as their hashes depend on each other, in
+    batches of rows: time grows with their number, memory doesn't.
+    """
+    rows = events.where("tenant is not null").select("tenant", "id", "occurred_at", "payload", F.sha2(F.coalesce("payload", F.lit("")), 256).alias("payload_digest"))
+    rows = rows.withColumns({"last_seq": F.lit(None).cast("long"), "last_hash": F.lit(None).cast("string")})
+    if heads is not None:
+        rows = rows.unionByName(heads.select("tenant", F.col("last_seq").cast("long").alias("last_seq"), "last_hash"), allowMissingColumns=True)
+    rows = rows.withColumns({"owner": F.col("tenant").cast("string"), "at": micros_text(F.col("occurred_at"))})
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = ["tenant", "id", "occurred_at", "payload", "payload_digest"]
+    schema = ", ".join(f"{c} {types[c]}" for c in out) + ", seq long, prev_hash string, hash string"
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seq, last = None, 0, GENESIS
+        for batch in batches:
+            seqs, before, made = [], [], []
+            for owner, at, digest, last_seq, last_hash in zip(*(batch.column(c).to_pylist() for c in ("owner", "at", "payload_digest", "last_seq", "last_hash")), strict=True):
+                if owner != own:
+                    own, seq, last = owner, 0, GENESIS
+                if last_seq is not None:
+                    seq, last = last_seq, last_hash
+                    continue
+                seq += 1
+                before.append(last)
+                last = hashlib.sha256("|".join(x for x in (owner, str(seq), last, digest, at) if x is not None).encode()).hexdigest()
+                seqs.append(seq)
+                made.append(last)
+            kept = batch.filter(pc.is_null(batch.column("last_seq")))
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in out), pa.array(seqs, pa.int64()), pa.array(before, pa.string()), pa.array(made, pa.string())], [*out, "seq", "prev_hash", "hash"])
+
+    # a head comes before its tenant's events
+    ordered = rows.repartition("tenant").sortWithinPartitions("tenant", F.col("last_seq").desc_nulls_last(), "occurred_at", "id", "payload")
+    return ordered.mapInArrow(link, schema).select("tenant", "seq", "id", "occurred_at", "payload", "payload_digest", "prev_hash", "hash")
 
 
 def verify(log: DataFrame, from_seq: int = 1, anchors: DataFrame | None = None) -> DataFrame:
     """tenant, ok, events_verified, head_hash, broken_at, reason, expected, actual for each tenant in log.
 
     Reasons, the first that holds: sequence_gap, payload_digest, prev_hash_mismatch,
-    hash. anchors (tenant, seq, hash) are checkpoints that the row before from_seq
-    must match. A deleted tail and a consistent rewrite without anchor go unseen.
+    hash. A number that occurs twice is a gap before its second row, which should
+    have the next one. anchors (tenant, seq, hash) are checkpoints that the row
+    before from_seq must match. A deleted tail and a consistent rewrite without
+    anchor go unseen.
     """
-    by = Window.partitionBy("tenant").orderBy("seq")
-    rows = log.where(F.col("seq") >= from_seq - 1).withColumns({"before": F.lag("hash").over(by), "n": F.row_number().over(by)})
-    # from_seq > 1: the row before it must be there too
-    rows = rows.withColumn("want", (F.lit(max(1, from_seq - 1)) + F.col("n") - 1).cast("long"))
+    start = max(1, from_seq - 1)
+    log = log.where(F.col("seq") >= from_seq - 1)
+    said = lambda reason, want, got: F.struct(F.lit(reason).alias("reason"), want.cast("string").alias("expected"), got.cast("string").alias("actual"))
     digest = F.sha2(F.coalesce("payload", F.lit("")), 256)
-    prev = F.when(F.col("seq") == 1, F.lit("0" * 64)).otherwise(F.col("before"))
     stamp = F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     made = F.sha2(F.array_join(F.array(F.col("tenant").cast("string"), F.col("seq").cast("string"), F.col("prev_hash"), F.col("payload_digest"), stamp), "|"), 256)
-    inside = F.col("seq") >= from_seq
-    said = lambda reason, want, got: F.struct(F.lit(reason).alias("reason"), want.cast("string").alias("expected"), got.cast("string").alias("actual"))
-    fault = F.when(F.col("seq") != F.col("want"), said("sequence_gap", F.col("want"), F.col("seq")))
-    fault = fault.when(inside & (digest != F.col("payload_digest")), said("payload_digest", digest, F.col("payload_digest")))
-    fault = fault.when(inside & (prev != F.col("prev_hash")), said("prev_hash_mismatch", prev, F.col("prev_hash")))
-    fault = fault.when(inside & (made != F.col("hash")), said("hash", made, F.col("hash")))
-    rows = rows.withColumn("fault", fault)
+    # what a row shows by itself is found before the join, which so moves no payloads
+    rows = log.select(
+        "tenant", "seq", "prev_hash", "hash",
+        F.when(digest != F.col("payload_digest"), said("payload_digest", digest, F.col("payload_digest"))).alias("content"),
+        F.when(made != F.col("hash"), said("hash", made, F.col("hash"))).alias("link"),
+    )
     if anchors is not None:
         known = anchors.where(F.col("seq") == from_seq - 1).select("tenant", "seq", F.col("hash").alias("anchored"))
         rows = rows.join(known, ["tenant", "seq"], "left")
-        broken = said("hash", F.col("anchored"), F.col("hash"))
-        rows = rows.withColumn("fault", F.coalesce("fault", F.when(F.col("anchored").isNotNull() & (F.col("anchored") != F.col("hash")), broken)))
-    at = F.when(F.col("fault").isNotNull(), F.struct("n", F.when(F.col("fault.reason") == "sequence_gap", F.col("want")).otherwise(F.col("seq")).alias("at"), "fault"))
-    out = rows.groupBy("tenant").agg(F.min(at).alias("f"), F.count_if(F.col("seq") >= from_seq).alias("n"), F.max_by("hash", "seq").alias("head"))
+        rows = rows.withColumn("anchor", F.when(F.col("anchored") != F.col("hash"), said("hash", F.col("anchored"), F.col("hash")))).drop("anchored")
+    else:
+        rows = rows.withColumn("anchor", F.lit(None).cast("struct<reason string, expected string, actual string>"))
+    prior = log.groupBy(F.col("tenant").alias("owner"), F.col("seq").alias("last")).agg(F.min("hash").alias("before"), F.count(F.lit(1)).alias("copies"))
+    rows = rows.withColumn("here", F.lit(True)).join(prior, F.col("tenant").eqNullSafe(F.col("owner")) & (F.col("seq") == F.col("last") + 1), "full")
+    here, inside = F.col("here").isNotNull(), F.col("seq") >= from_seq
+    prev = F.when(F.col("seq") == 1, F.lit(GENESIS)).otherwise(F.col("before"))
+    unlike = F.when(prev != F.col("prev_hash"), said("prev_hash_mismatch", prev, F.col("prev_hash")))
+    fault = F.coalesce(F.when(inside, F.coalesce("content", unlike, "link")), "anchor")
+    rows = rows.select(
+        F.when(here, F.col("tenant")).otherwise(F.col("owner")).alias("tenant"), "seq", "hash", "here", inside.alias("inside"),
+        F.when(fault.isNotNull(), F.struct("seq", fault.alias("fault"))).alias("own"),
+        F.when(here & F.col("last").isNull() & (F.col("seq") != start), F.col("seq")).alias("orphan"),
+        F.when(~here, F.col("last")).alias("end"),
+        F.when(F.col("copies") > 1, F.col("last")).alias("twice"),
+    )
+    out = rows.groupBy("tenant").agg(
+        F.min("own").alias("own"), F.min("seq").alias("first"), F.min("orphan").alias("orphan"), F.min("end").alias("end"), F.min("twice").alias("twice"),
+        F.count_if("inside").alias("n"), F.max_by("hash", "seq").alias("head"),
+    )
+    # the first row behind a gap, and the number that it should have; all before it are in sequence
+    gap = F.when(F.col("first") != start, F.struct(F.col("first").alias("seq"), F.lit(0).alias("k"), F.lit(start).cast("long").alias("want")))
+    gap = gap.when(F.col("orphan").isNotNull(), F.struct(F.col("orphan").alias("seq"), F.lit(0).alias("k"), (F.col("end") + 1).alias("want")))
+    again = F.when(F.col("twice").isNotNull(), F.struct(F.col("twice").alias("seq"), F.lit(2).alias("k"), (F.col("twice") + 1).alias("want")))
+    out = out.withColumn("gap", F.least(gap, again))  # of one number, a gap before its first row goes before it
+    out = out.withColumn("f", F.when(F.col("own").isNotNull() & (F.col("gap").isNull() | (F.struct("own.seq", F.lit(1).alias("k")) < F.struct("gap.seq", "gap.k"))), F.struct(F.col("own.seq").alias("at"), F.col("own.fault").alias("fault"))).when(F.col("gap").isNotNull(), F.struct(F.col("gap.want").alias("at"), said("sequence_gap", F.col("gap.want"), F.col("gap.seq")).alias("fault"))))
     ok = F.col("f").isNull()
     return out.select("tenant", ok.alias("ok"), F.when(ok, F.col("n")).alias("events_verified"), F.when(ok, F.col("head")).alias("head_hash"), F.col("f.at").alias("broken_at"), F.col("f.fault.reason").alias("reason"), F.col("f.fault.expected").alias("expected"), F.col("f.fault.actual").alias("actual"))
 

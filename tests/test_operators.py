@@ -52,6 +52,17 @@ def test_chain_breaks(spark, edit, at, reason):
     assert {(r.ok, r.events_verified) for r in chain.verify(log, 4).collect()} == {(True, 3)}
 
 
+def test_chain_breaks_that_come_together(spark):
+    log = chain.append(events(spark, 12)).where("tenant = 1")
+    said = lambda df, *more: tuple(chain.verify(df, *more).first())[1:]
+    edited = log.withColumn("payload", F.when(F.col("seq").isin(2, 5), F.lit("x")).otherwise(F.col("payload")))
+    assert said(edited.where("seq <> 4"))[3:5] == (2, "payload_digest") and said(edited.where("seq not in (1, 4)"))[3:] == (1, "sequence_gap", "1", "2")
+    assert said(log.where("seq not in (3, 4)"))[3:] == (3, "sequence_gap", "3", "5")
+    assert said(log.union(log.where("seq = 4")))[3:] == (5, "sequence_gap", "5", "4") and said(log.union(log.where("seq = 6")))[3:] == (7, "sequence_gap", "7", "6")
+    assert said(log.where("seq <> 3"), 4)[3:] == (3, "sequence_gap", "3", "4") and said(log.where("seq <> 2"), 4)[:2] == (True, 3)
+    assert chain.verify(log.limit(0)).isEmpty() and chain.append(events(spark, 3).limit(0)).isEmpty()
+
+
 def test_anchor_and_continued_append(spark):
     log = chain.append(events(spark, 8))
     more = chain.append(events(spark, 6, 8), chain.heads(log))
