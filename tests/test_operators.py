@@ -81,6 +81,29 @@ def test_stream_appends_a_chain(spark, tmp_path):
     assert log.count() == 30 and {(r.ok, r.events_verified) for r in chain.verify(log.drop("batch")).collect()} == {(True, 15)}
 
 
+@pytest.mark.parametrize("kind", ["idempotency", "request", "rate"])
+def test_streamed_decisions_are_those_of_one_batch(spark, tmp_path, kind):
+    kinds = ("begin", "begin", "complete", "fail")
+    rows = [(f"k{i * 7 % 5}", i, 20.0 * i, kinds[i * i % 4], "ab"[i % 11 == 0]) for i in range(90)]
+    schema = "key string, id long, at_s double, kind string, fingerprint string"
+    requests = spark.createDataFrame(rows, schema)
+    for k in range(3):
+        requests.where(f"id >= {30 * k} and id < {30 * k + 30}").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    ours, whole, said = {
+        "idempotency": (lambda: streams.idempotency_outcomes(source, out, cp, 300, lateness=0), folds.idempotency_outcomes(requests, 300), streams.IDEMPOTENCY),
+        "request": (lambda: streams.request_outcomes(source, out, cp, 300, lateness=0), folds.request_outcomes(requests, 300), streams.IDEMPOTENCY),
+        "rate": (lambda: streams.rate_decisions(source, 2, out, cp, 400, lateness=0), folds.rate_decisions(requests, 2, 400), streams.RATE),
+    }[kind]
+    query = ours()
+    assert query.awaitTermination(120) and query.exception() is None
+    got = streams.decisions(spark, out, said)
+    assert sorted(map(tuple, got.drop("batch").collect())) == sorted(map(tuple, whole.collect())) and got.select("batch").distinct().count() == 3
+    assert sorted(p.name for p in (tmp_path / "out/states").iterdir()) == ["1", "2"]
+    assert len({r[2:] for r in got.drop("batch").collect()}) > 1
+
+
 def test_folds():
     state, said = folds.idempotency_step(None, 0, "a")
     assert said == "owned" and folds.idempotency_step(state, 5, "a")[1] == "replay" and folds.idempotency_step(state, 5, "b")[1] == "reused" and folds.idempotency_step(state, 86400, "b")[1] == "owned"
