@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canon
@@ -23,14 +23,16 @@ class Processor:
     parameters: dict = field(default_factory=dict)
 
 
-def _summary(artifacts: DataFrame, head: str, key: str, *more: str) -> DataFrame:
+def _summary(artifacts: DataFrame, head: str, key: str, metadata: bool = False) -> DataFrame:
     """One canonical JSON text per run: its artifacts in the order of their names, and totals."""
-    entry = F.struct("name", F.to_json(F.struct("digest", F.col("name").alias("logicalName"), F.col("media_type").alias("mediaType"), *more, F.col("size").cast("string").alias("sizeBytes"))).alias("text"))
+    first = F.to_json(F.struct("digest", F.col("name").alias("logicalName"), F.col("media_type").alias("mediaType")))
+    more = [F.lit(',"metadata":'), F.col("metadata")] if metadata else []
+    entry = F.struct("name", F.concat(F.substr(first, F.lit(1), F.length(first) - 1), *more, F.lit(',"sizeBytes":"'), F.col("size").cast("string"), F.lit('"}')).alias("text"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["text"]), ",")
     total = F.sum(F.col("size").cast("decimal(38,0)")).cast("string")
-    known = F.count_if(F.col("kind") != "unknown") if more else F.lit(0)
+    known = F.count_if(F.col("kind") != "unknown") if metadata else F.lit(0)
     rows = artifacts.groupBy("run").agg(F.count(F.lit(1)).cast("string").alias("n"), listed.alias("listed"), total.alias("total"), known.cast("string").alias("known"))
-    tail = F.concat(F.lit(',"recognisedCount":'), "known", F.lit(f',"{key}":1}}')) if more else F.concat(F.lit(f',"{key}":1,"totalSizeBytes":"'), "total", F.lit('"}'))
+    tail = F.concat(F.lit(',"recognisedCount":'), "known", F.lit(f',"{key}":1}}')) if metadata else F.concat(F.lit(f',"{key}":1,"totalSizeBytes":"'), "total", F.lit('"}'))
     text = F.concat(F.lit('{"artifactCount":'), "n", F.lit(',"artifacts":['), "listed", F.lit("]"), tail)
     return rows.select("run", F.lit(f"{head}.json").alias("name"), F.lit("application/json").alias("media_type"), text.alias("content"))
 
@@ -39,12 +41,27 @@ def _checksums(artifacts: DataFrame) -> DataFrame:
     return _summary(artifacts, "manifest", "manifestVersion")
 
 
+def _described(s: str, inspected: Column) -> Column:
+    """Canonical JSON of what uploads.sniff tells of each kind, in the column s."""
+
+    def told(kind: str, **fields: str) -> Column:
+        whole = F.struct(*(F.col(f"{s}.{c}").alias(k) for k, c in sorted((fields | {"type": "kind"}).items())))
+        return F.when(F.col(f"{s}.kind") == kind, F.to_json(whole, {"ignoreNullFields": "false"}))
+
+    unknown = F.to_json(F.struct(inspected.alias("inspected"), F.lit("unknown").alias("type")))
+    return F.coalesce(
+        told("tiff", byteOrder="byte_order", height="height", width="width"),
+        told("png", bitDepth="bit_depth", colorType="colour_type", height="height", width="width"),
+        told("text", columnCount="column_count", delimiter="delimiter", lineCount="line_count"),
+        unknown,
+    )
+
+
 def _metadata(artifacts: DataFrame) -> DataFrame:
-    """By the first bytes of contents up to the inspected size; larger ones are unknown and not inspected."""
-    small = F.col("size") <= uploads.INSPECTED
+    """By the bytes of contents up to the inspected size; larger ones are unknown and not inspected."""
+    small = F.coalesce(F.col("size") <= uploads.INSPECTED, F.lit(True))
     seen = artifacts.withColumn("s", uploads.sniff(F.when(small, F.col("content")))).withColumn("kind", F.coalesce("s.kind", F.lit("unknown")))
-    metadata = F.struct(F.col("s.bit_depth").alias("bitDepth"), F.col("s.colour_type").alias("colourType"), F.col("s.height").alias("height"), F.when(F.col("kind") == "unknown", small).alias("inspected"), F.col("kind").alias("type"), F.col("s.width").alias("width"))
-    return _summary(seen.withColumn("metadata", metadata), "metadata", "summaryVersion", "metadata")
+    return _summary(seen.withColumn("metadata", _described("s", small)), "metadata", "summaryVersion", metadata=True)
 
 
 REGISTRY = {p.name: p for p in (Processor("checksum-manifest", "1.0.0", _checksums), Processor("metadata-extract", "1.0.0", _metadata, {"inspectionLimitBytes": uploads.INSPECTED}))}

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 MIB = 1 << 20
 PREFERRED, MOST_PARTS, LEAST_PART, MOST_PART = 64 * MIB, 10_000, 5 * MIB, 5 << 30
 INSPECTED, SNIFFED_LINES = 16 * MIB, 64
-_SNIFFED = ["kind", "width", "height", "bit_depth", "colour_type"]
+#: The delimiters looked for, in order.
+DELIMITERS = (",", "\t", ";", "|")
+_SNIFFED = {"kind": "string", "width": "long", "height": "long", "bit_depth": "long", "colour_type": "long", "byte_order": "string", "line_count": "long", "delimiter": "string", "column_count": "long"}
 
 
 def part_size(size: Column, preferred: int = PREFERRED, parts: int = MOST_PARTS) -> Column:
@@ -91,14 +93,15 @@ def line_count(text: Column) -> Column:
 
 
 def delimiter(text: Column) -> Column:
-    """The first of comma, tab, semicolon and bar that cuts all non-empty ones of the first lines into as many columns, two at least."""
-    lines = F.filter(F.slice(F.split(text, "\r?\n"), 1, SNIFFED_LINES), lambda x: x != "")
+    """The first of comma, tab, semicolon and bar that cuts all non-empty ones of the first lines into as many columns, two at least. A carriage return is part of its line."""
+    lines = F.filter(F.slice(F.split(text, "\n"), 1, SNIFFED_LINES), lambda x: x != "")
 
-    def fits(mark: str, regex: str) -> Column:
-        first = F.size(F.split(F.get(lines, F.lit(0)), regex))
-        return F.when((first >= 2) & F.forall(lines, lambda x: F.size(F.split(x, regex)) == first), mark)
+    def fits(mark: str) -> Column:
+        columns = lambda x: F.size(F.split(x, "[|]" if mark == "|" else mark))
+        first = columns(F.get(lines, F.lit(0)))
+        return F.when((first >= 2) & F.forall(lines, lambda x: columns(x) == first), mark)
 
-    return F.coalesce(*(fits(m, r) for m, r in ((",", ","), ("\t", "\t"), (";", ";"), ("|", r"\|"))))
+    return F.coalesce(*(fits(m) for m in DELIMITERS))
 
 
 def is_plain(text: Column) -> Column:
@@ -106,33 +109,59 @@ def is_plain(text: Column) -> Column:
     return ~text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
 
 
-def sniff_bytes(content: bytes | None) -> tuple[str, int | None, int | None, int | None, int | None]:
-    """(tiff | png | text | unknown, width, height, and a PNG's bit depth and colour type)."""
+def _tiff(content: bytes) -> dict | None:
+    """Byte order and sides in the first directory; None if it isn't a TIFF that names both."""
+    order = {b"II": "<", b"MM": ">"}.get(content[:2])
+    if len(content) < 8 or order is None or struct.unpack_from(order + "H", content, 2)[0] != 42:
+        return None
+    at = struct.unpack_from(order + "I", content, 4)[0]
+    if at + 2 > len(content):
+        return None
+    entries = min(struct.unpack_from(order + "H", content, at)[0], (len(content) - at - 2) // 12)
+    sides: dict[int, int] = {}
+    for i in range(entries):
+        tag, kind = struct.unpack_from(order + "HH", content, at + 2 + 12 * i)
+        if tag in (0x100, 0x101) and kind in (3, 4):
+            sides[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), content, at + 10 + 12 * i)[0]
+    return {"kind": "tiff", "width": sides[0x100], "height": sides[0x101], "byte_order": "little" if order == "<" else "big"} if len(sides) == 2 else None
+
+
+def _png(content: bytes) -> dict | None:
+    if len(content) < 26 or content[:8] != b"\x89PNG\r\n\x1a\n" or content[12:16] != b"IHDR":
+        return None
+    return dict(zip(("width", "height", "bit_depth", "colour_type"), struct.unpack_from(">IIBB", content, 16), strict=True), kind="png")
+
+
+def _text(content: bytes) -> dict | None:
+    """Lines and delimiter of UTF-8 without control characters but tab and line ends; None for nothing."""
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return None
+    if not content or any(ord(c) < 32 and c not in "\t\n\r" for c in set(text)):
+        return None
+    sample = [x for x in text.split("\n", SNIFFED_LINES)[:SNIFFED_LINES] if x]
+    counts = ((m, {x.count(m) + 1 for x in sample}) for m in DELIMITERS)
+    mark, columns = next(((m, min(n)) for m, n in counts if len(n) == 1 and min(n) > 1), (None, None))
+    return {"kind": "text", "line_count": text.count("\n") + (text != "" and not text.endswith("\n")), "delimiter": mark, "column_count": columns}
+
+
+def sniff_bytes(content: bytes | None) -> dict:
+    """What bytes look like: kind (tiff, png, text or unknown) and what is known of that kind. A malformed header is unknown."""
     if content is None or len(content) > INSPECTED:
-        return "unknown", None, None, None, None
+        return {"kind": "unknown"}
     try:
-        order = {b"II": "<", b"MM": ">"}.get(content[:2])
-        if order and struct.unpack_from(order + "H", content, 2)[0] == 42:
-            at = struct.unpack_from(order + "I", content, 4)[0]
-            sides: dict[int, int] = {}
-            for i in range(struct.unpack_from(order + "H", content, at)[0]):
-                tag, kind = struct.unpack_from(order + "HH", content, at + 2 + 12 * i)
-                if tag in (0x100, 0x101) and kind in (3, 4):
-                    sides[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), content, at + 10 + 12 * i)[0]
-            return "tiff", sides.get(0x100), sides.get(0x101), None, None
-        if content[:8] == b"\x89PNG\r\n\x1a\n" and content[12:16] == b"IHDR":
-            return "png", *struct.unpack_from(">IIBB", content, 16)
-        text = content.decode("utf-8")
-        return ("unknown" if any(ord(c) < 32 and c not in "\t\n\r" for c in text) else "text"), None, None, None, None
-    except (struct.error, UnicodeDecodeError):
-        return "unknown", None, None, None, None
+        return _tiff(content) or _png(content) or _text(content) or {"kind": "unknown"}
+    except struct.error:
+        return {"kind": "unknown"}
 
 
 def sniff(content: Column) -> Column:
-    """kind, width, height, bit_depth and colour_type of each object's bytes."""
+    """sniff_bytes of each object's bytes, as one struct; what doesn't apply to a kind is null."""
 
     def read(contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sniff_bytes(c) for c in contents], columns=_SNIFFED).astype(dict.fromkeys(_SNIFFED[1:], "Int64"))
+        found = pd.DataFrame([sniff_bytes(c) for c in contents], columns=list(_SNIFFED))
+        return found.astype({c: "Int64" if t == "long" else object for c, t in _SNIFFED.items()})
 
     read.__annotations__ = {"contents": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(read, "kind string, width long, height long, bit_depth long, colour_type long")(content)
+    return F.pandas_udf(read, ", ".join(f"{c} {t}" for c, t in _SNIFFED.items()))(content)

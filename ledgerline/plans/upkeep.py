@@ -147,8 +147,11 @@ def derivations_recorded(spark, d):
     return processors.recorded(made, made.where("run % 3 = 0")).select("run", "derivation", "created")
 
 
-@query("""select lang as run, '{"artifactCount":' || count(*) || ',"artifacts":[' || string_agg('{"digest":"' || sha256(text) || '","logicalName":"' || doc_id || '","mediaType":"text/plain","metadata":{' || case when plain then '"type":"text"' else '"inspected":true,"type":"unknown"' end || '},"sizeBytes":"' || octet_length(encode(text)) || '"}', ',' order by cast(doc_id as varchar)) || '],"recognisedCount":' || count(*) filter (plain) || ',"summaryVersion":1}' as content
-from (select *, not regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') as plain from documents) group by lang""")
+@query("""with l as (select *, not regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') and text <> '' as plain, list_filter(string_split(text, chr(10))[1:64], lambda x: x <> '') as ls from documents),
+m as (select *, list_filter([',', chr(9), ';', '|'], lambda c: len(ls) > 0 and len(string_split(ls[1], c)) > 1 and len(list_filter(ls, lambda x: len(string_split(x, c)) <> len(string_split(ls[1], c)))) = 0)[1] as mark from l)
+select lang as run, '{"artifactCount":' || count(*) || ',"artifacts":[' || string_agg('{"digest":"' || sha256(text) || '","logicalName":"' || doc_id || '","mediaType":"text/plain","metadata":{' || case when plain
+  then '"columnCount":' || case when mark is null then 'null' else cast(len(string_split(ls[1], mark)) as varchar) end || ',"delimiter":' || coalesce(case when mark = chr(9) then '"\\t"' else '"' || mark || '"' end, 'null') || ',"lineCount":' || (len(string_split(text, chr(10))) - case when ends_with(text, chr(10)) then 1 else 0 end) || ',"type":"text"'
+  else '"inspected":true,"type":"unknown"' end || '},"sizeBytes":"' || octet_length(encode(text)) || '"}', ',' order by cast(doc_id as varchar)) || '],"recognisedCount":' || count(*) filter (plain) || ',"summaryVersion":1}' as content from m group by lang""")
 def metadata_extract(spark, d):
     docs = table(spark, d, "documents")
     rows = docs.select(F.col("lang").alias("run"), F.col("doc_id").cast("string").alias("name"), digests.sha256(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("size"), F.lit("text/plain").alias("media_type"), F.col("text").cast("binary").alias("content"))

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import hashlib
+import json
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import canon
-from ledgerline.operators import chain, folds, lineage, paging, runs, search, uploads
+from ledgerline.operators import chain, folds, lineage, paging, processors, runs, search, uploads
 from ledgerline.sources.tables import Scope, ScopedCatalog
 from ledgerline.streaming import streams
 
@@ -120,8 +121,18 @@ def test_scope(spark, tmp_path):
 def test_sniffing(spark):
     png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 7, 9) + b"\x08\x02"
     tiff = b"II" + struct.pack("<HIH", 42, 8, 2) + struct.pack("<HHIHH", 0x100, 3, 1, 5, 0) + struct.pack("<HHII", 0x101, 4, 1, 6)
-    df = spark.createDataFrame([(png,), (tiff,), (b"a,b\n",), (b"\0",), (None,)], "c binary")
-    assert [tuple(r.s) for r in df.select(uploads.sniff("c").alias("s")).collect()] == [("png", 7, 9, 8, 2), ("tiff", 5, 6, None, None), *((k, None, None, None, None) for k in ("text", "unknown", "unknown"))]
+    contents = [png, tiff, b"a,b\n1,2\n", b"a\tb\n\nc\td\r", b"one, two\nthree", b"\xef\xbb\xbf", b"", b"\0", b"\xff\xfe", tiff[:30], b"II*\0", png[:25], None]
+    df = spark.createDataFrame([(i, "r", f"n{i:02d}", "0", "x/y", len(c or b""), c) for i, c in enumerate(contents)], "i int, run string, name string, digest string, media_type string, size long, content binary")
+    got = [{k: v for k, v in r.s.asDict().items() if v is not None} for r in df.orderBy("i").select(uploads.sniff("content").alias("s")).collect()]
+    text = lambda n, mark=None, columns=None: {"kind": "text", "line_count": n} | ({"delimiter": mark, "column_count": columns} if mark else {})
+    assert got[:6] == [{"kind": "png", "width": 7, "height": 9, "bit_depth": 8, "colour_type": 2}, {"kind": "tiff", "width": 5, "height": 6, "byte_order": "little"}, text(2, ",", 2), text(3, "\t", 2), text(2), text(0)]
+    assert got[6:] == [{"kind": "unknown"}] * 7
+    made = json.loads(processors.REGISTRY["metadata-extract"].run(df.withColumn("size", F.when(F.col("i") == 2, 1 << 25).otherwise(F.col("size")))).first().content)
+    assert [a["metadata"] for a in made["artifacts"]][:5] == [
+        {"bitDepth": 8, "colorType": 2, "height": 9, "type": "png", "width": 7}, {"byteOrder": "little", "height": 6, "type": "tiff", "width": 5}, {"inspected": False, "type": "unknown"},
+        {"columnCount": 2, "delimiter": "\t", "lineCount": 3, "type": "text"}, {"columnCount": None, "delimiter": None, "lineCount": 2, "type": "text"},
+    ]
+    assert made["recognisedCount"] == 5 and canon.canonicalize(made) == processors.REGISTRY["metadata-extract"].run(df.withColumn("size", F.when(F.col("i") == 2, 1 << 25).otherwise(F.col("size")))).first().content
     marks = spark.createDataFrame([("a,b\n1,2\n",), ("a\tb",), ("a;b\nc",), ("x|y\n\nz|w",)], "t string")
     assert [r[0] for r in marks.select(uploads.delimiter(F.col("t"))).collect()] == [",", "\t", None, "|"]
     assert hashlib.sha256(b"abc").hexdigest() == spark.range(1).select(F.sha2(F.lit("abc"), 256)).first()[0]
