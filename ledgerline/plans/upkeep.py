@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canon, digests
-from ..operators import chain, folds, jobs, processors, uploads
+from ..operators import chain, completion, folds, jobs, processors, uploads
 from ..sources.tables import table
 from .catalog import _ORDERED, _seconds, query
 
@@ -72,6 +72,47 @@ def name_forms(spark, d):
     )
 
 
+_DONE = """with t as (select doc_id as id, doc_id // 4 as run, sha256(text) as digest, octet_length(encode(text)) as size, doc_id % 9 + 1 as parts from documents),
+s as (select *, id % 3 = 0 as missing, case when id % 17 = 0 then size + 1 else size end as head, case when id % 19 = 0 then size + 2 else size end as read, case when id % 13 = 0 then sha256(digest) else digest end as got from t),
+o as (select *, case when id % 23 = 0 then 'done' when run % 11 = 0 then 'run_not_open' when id % 7 = 0 then 'no_session' when id % 29 = 0 and parts > 1 then 'missing_parts' when id % 31 = 0 then 'object_missing'
+  when head <> size or read <> size then 'size_mismatch' when got <> digest then 'digest_mismatch' else 'verified' end as o from s),
+c as (select run, min(id) as c from o where o in ('size_mismatch', 'digest_mismatch') group by run),
+f as (select o.*, case when o <> 'done' and id > c then 'run_not_open' else o end as outcome from o left join c using (run)),
+r as (select *, case when outcome = 'size_mismatch' and head <> size then 'stored size ' || head || ' does not match the declared size ' || size when outcome = 'size_mismatch' then 'read back ' || read || ' bytes for a declared size of ' || size
+  when outcome = 'digest_mismatch' then 'stored bytes hash to ' || got || ', declared ' || digest end as reason, case when outcome = 'done' then id + 5000000 when outcome = 'verified' then min(case when outcome = 'verified' then id end) over (partition by digest) end as artifact from f)"""
+
+
+def _completion(spark: SparkSession, d: str) -> completion.Completion:
+    key, t = F.col("id"), _texts(spark, d)
+    entries = t.withColumns({"run": F.floor(key / 4), "name": F.concat(F.lit("n"), key), "verification": F.when(key % 23 == 0, "VERIFIED").otherwise("PENDING"), "artifact": F.when(key % 23 == 0, key + 5000000)})
+    runs = entries.groupBy("run").agg(F.max(F.when(F.col("run") % 11 == 0, "SEALED").otherwise("OPEN")).alias("state"))
+    sessions = t.select("id", F.when(key % 7 == 0, "ABORTED").otherwise("OPEN").alias("state"), (key % 9 + 1).alias("total_parts"))
+    part = F.col("part_number")
+    parts = sessions.select("id", F.explode(F.sequence(F.lit(1).cast("long"), "total_parts")).alias("part_number")).where((key % 29 != 0) | (part != 2)).withColumn("etag", F.lit("e"))
+    size, digest = F.col("size"), F.col("digest")
+    stored = t.where(key % 31 != 0).select("id", F.when(key % 17 == 0, size + 1).otherwise(size).alias("head_size"), F.when(key % 19 == 0, size + 2).otherwise(size).alias("read_size"), F.when(key % 13 == 0, digests.sha256(digest)).otherwise(digest).alias("read_digest"))
+    none = spark.createDataFrame([], "digest string, artifact long")
+    return completion.completed(t, entries, runs, sessions, parts, stored, none)
+
+
+@query(f"{_DONE} select id, run, outcome, reason, artifact from r")
+def upload_completions(spark, d):
+    return _completion(spark, d).outcomes
+
+
+@query(f"""{_DONE}, k as (select *, substr(digest, 1, 2) || '/' || substr(digest, 3, 2) as dirs, '"logicalName":"n' || id || '"' as n, '"runId":"' || run || '"' as u, '"reason":"' || reason || '"' as w from r)
+select run, id, 0 as place, 'artifact.verified' as action, cast(id as varchar) as target, '{{"artifactId":"' || artifact || '","digest":"' || digest || '",' || n || ',' || u || ',"sizeBytes":"' || read || '","storageKey":"sha256/' || dirs || '/' || digest || '","verifiedBy":"read-back-sha256"}}' as payload from k where outcome = 'verified'
+union all select run, id, 0, 'run.quarantined', cast(run as varchar), '{{' || n || ',' || w || ',' || u || '}}' from k where reason is not null
+union all select run, id, 1, 'artifact.rejected', cast(id as varchar), '{{' || case when outcome = 'digest_mismatch' then '"computedDigest":"' || got || '",' else '' end || '"declaredDigest":"' || digest || '","declaredSize":"' || size || '",' || n || ',' || w || ',' || u || case when outcome = 'size_mismatch' then ',"storedSize":"' || case when head <> size then head else read end || '"' else '' end || '}}' from k where reason is not null""")
+def upload_events(spark, d):
+    return _completion(spark, d).events
+
+
+@query(f"{_DONE} select id, case when id % 23 = 0 or outcome = 'verified' then 'VERIFIED' when reason is not null then 'REJECTED' else 'PENDING' end as verification, artifact, reason as rejection_reason from r")
+def upload_entries_after(spark, d):
+    return _completion(spark, d).entries.select("id", "verification", "artifact", "rejection_reason")
+
+
 # --- queue -----------------------------------------------------------------------
 
 @query("""with w as (select event_id as id, user_id as tenant, event_type as queue, case when event_id % 6 <> 0 then event_id % 3 end as key from events) select min(id) as id, tenant, queue, key from w where key is not null and (tenant, queue, key) not in (select tenant, queue, key from w where key is not null and id % 10 = 0) group by tenant, queue, key
