@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canon import canonical
 from ..functions.digests import GENESIS, micros_text
 
 ACTION = r"^[a-z]+(_[a-z]+)*\.[a-z]+(_[a-z]+)*$"
@@ -60,41 +61,54 @@ def append(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     return ordered.mapInArrow(link, schema).select("tenant", "seq", "id", "occurred_at", "payload", "payload_digest", "prev_hash", "hash")
 
 
-def verify(log: DataFrame, from_seq: int = 1, anchors: DataFrame | None = None) -> DataFrame:
+def prepared(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """events (tenant, id, action, payload and others) with their payloads in canonical form, ready for append(); and those refused, with problem, the first that holds: tenant (none), action (not of the form noun.verb) or payload (not JSON, or none)."""
+    rows = events.withColumn("_c", canonical(F.col("payload")))
+    problem = F.when(F.col("tenant").isNull(), "tenant").when(~F.coalesce(F.col("action").rlike(ACTION), F.lit(False)), "action").when(F.col("_c.canonical").isNull(), "payload")
+    rows = rows.withColumns({"problem": problem, "payload": F.coalesce("_c.canonical", "payload")}).drop("_c")
+    return rows.where("problem is null").drop("problem"), rows.where("problem is not null")
+
+
+def verify(log: DataFrame, from_seq: int | DataFrame = 1, anchors: DataFrame | None = None) -> DataFrame:
     """tenant, ok, events_verified, head_hash, broken_at, reason, expected, actual for each tenant in log.
 
     Reasons, the first that holds: sequence_gap, payload_digest, prev_hash_mismatch,
     hash. A number that occurs twice is a gap before its second row, which should
     have the next one. anchors (tenant, seq, hash) are checkpoints that the row
     before from_seq must match. A deleted tail and a consistent rewrite without
-    anchor go unseen.
+    anchor go unseen. from_seq may be a frame (tenant, from_seq) with a row per
+    tenant at most; tenants without one begin at 1.
     """
-    start = max(1, from_seq - 1)
-    log = log.where(F.col("seq") >= from_seq - 1)
+    if isinstance(from_seq, DataFrame):
+        log = log.join(from_seq.select("tenant", F.col("from_seq").cast("long").alias("since")), "tenant", "left").withColumn("since", F.coalesce("since", F.lit(1).cast("long")))
+    else:
+        log = log.withColumn("since", F.lit(from_seq).cast("long"))
+    log = log.where(F.col("seq") >= F.col("since") - 1)
+    start = F.greatest(F.lit(1).cast("long"), F.col("since") - 1)
     said = lambda reason, want, got: F.struct(F.lit(reason).alias("reason"), want.cast("string").alias("expected"), got.cast("string").alias("actual"))
     digest = F.sha2(F.coalesce("payload", F.lit("")), 256)
     stamp = F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     made = F.sha2(F.array_join(F.array(F.col("tenant").cast("string"), F.col("seq").cast("string"), F.col("prev_hash"), F.col("payload_digest"), stamp), "|"), 256)
     # what a row shows by itself is found before the join, which so moves no payloads
     rows = log.select(
-        "tenant", "seq", "prev_hash", "hash",
+        "tenant", "seq", "prev_hash", "hash", "since",
         F.when(digest != F.col("payload_digest"), said("payload_digest", digest, F.col("payload_digest"))).alias("content"),
         F.when(made != F.col("hash"), said("hash", made, F.col("hash"))).alias("link"),
     )
     if anchors is not None:
-        known = anchors.where(F.col("seq") == from_seq - 1).select("tenant", "seq", F.col("hash").alias("anchored"))
+        known = anchors.select("tenant", "seq", F.col("hash").alias("anchored"))
         rows = rows.join(known, ["tenant", "seq"], "left")
-        rows = rows.withColumn("anchor", F.when(F.col("anchored") != F.col("hash"), said("hash", F.col("anchored"), F.col("hash")))).drop("anchored")
+        rows = rows.withColumn("anchor", F.when((F.col("seq") == F.col("since") - 1) & (F.col("anchored") != F.col("hash")), said("hash", F.col("anchored"), F.col("hash")))).drop("anchored")
     else:
         rows = rows.withColumn("anchor", F.lit(None).cast("struct<reason string, expected string, actual string>"))
     prior = log.groupBy(F.col("tenant").alias("owner"), F.col("seq").alias("last")).agg(F.min("hash").alias("before"), F.count(F.lit(1)).alias("copies"))
     rows = rows.withColumn("here", F.lit(True)).join(prior, F.col("tenant").eqNullSafe(F.col("owner")) & (F.col("seq") == F.col("last") + 1), "full")
-    here, inside = F.col("here").isNotNull(), F.col("seq") >= from_seq
+    here, inside = F.col("here").isNotNull(), F.col("seq") >= F.col("since")
     prev = F.when(F.col("seq") == 1, F.lit(GENESIS)).otherwise(F.col("before"))
     unlike = F.when(prev != F.col("prev_hash"), said("prev_hash_mismatch", prev, F.col("prev_hash")))
     fault = F.coalesce(F.when(inside, F.coalesce("content", unlike, "link")), "anchor")
     rows = rows.select(
-        F.when(here, F.col("tenant")).otherwise(F.col("owner")).alias("tenant"), "seq", "hash", "here", inside.alias("inside"),
+        F.when(here, F.col("tenant")).otherwise(F.col("owner")).alias("tenant"), "seq", "hash", "since", inside.alias("inside"),
         F.when(fault.isNotNull(), F.struct("seq", fault.alias("fault"))).alias("own"),
         F.when(here & F.col("last").isNull() & (F.col("seq") != start), F.col("seq")).alias("orphan"),
         F.when(~here, F.col("last")).alias("end"),
@@ -102,10 +116,10 @@ def verify(log: DataFrame, from_seq: int = 1, anchors: DataFrame | None = None)
     )
     out = rows.groupBy("tenant").agg(
         F.min("own").alias("own"), F.min("seq").alias("first"), F.min("orphan").alias("orphan"), F.min("end").alias("end"), F.min("twice").alias("twice"),
-        F.count_if("inside").alias("n"), F.max_by("hash", "seq").alias("head"),
+        F.count_if("inside").alias("n"), F.max_by("hash", "seq").alias("head"), F.max("since").alias("since"),
     )
     # the first row behind a gap, and the number that it should have; all before it are in sequence
-    gap = F.when(F.col("first") != start, F.struct(F.col("first").alias("seq"), F.lit(0).alias("k"), F.lit(start).cast("long").alias("want")))
+    gap = F.when(F.col("first") != start, F.struct(F.col("first").alias("seq"), F.lit(0).alias("k"), start.alias("want")))
     gap = gap.when(F.col("orphan").isNotNull(), F.struct(F.col("orphan").alias("seq"), F.lit(0).alias("k"), (F.col("end") + 1).alias("want")))
     again = F.when(F.col("twice").isNotNull(), F.struct(F.col("twice").alias("seq"), F.lit(2).alias("k"), (F.col("twice") + 1).alias("want")))
     out = out.withColumn("gap", F.least(gap, again))  # of one number, a gap before its first row goes before it
@@ -119,8 +133,23 @@ def heads(log: DataFrame) -> DataFrame:
     return log.groupBy("tenant").agg(F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("last_hash"), F.count(F.lit(1)).alias("events"))
 
 
-def due_checkpoints(log: DataFrame, checkpoints: DataFrame, least: int = 50) -> DataFrame:
-    """Heads of tenants with at least so many events since their last checkpoint (tenant, through_seq)."""
-    last = checkpoints.groupBy("tenant").agg(F.max("through_seq").alias("through_seq"))
+def due_checkpoints(log: DataFrame, checkpoints: DataFrame, least: int = 50, force: bool = False) -> DataFrame:
+    """tenant, through_seq, chain_hash, event_count: heads of tenants without a checkpoint, or with at least so many events since their last one (tenant, through_seq); all of them if forced."""
+    last = checkpoints.groupBy("tenant").agg(F.max("through_seq").alias("_through"))
     now = heads(log).join(last, "tenant", "left")
-    return now.where(F.col("last_seq") - F.coalesce("through_seq", F.lit(0)) >= least).select("tenant", F.col("last_seq").alias("through_seq"), F.col("last_hash").alias("chain_hash"), F.col("events").alias("event_count"))
+    due = F.col("_through").isNull() | (F.col("last_seq") - F.col("_through") >= least)
+    return now.where(F.lit(force) | due).select("tenant", F.col("last_seq").alias("through_seq"), F.col("last_hash").alias("chain_hash"), F.col("events").alias("event_count"))
+
+
+def checkpointed(log: DataFrame, checkpoints: DataFrame, least: int = 50, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """New checkpoints (tenant, through_seq, chain_hash, event_count, action and payload of their audit events), and tenants whose log is broken behind their last checkpoint (tenant, broken_at, reason), who get none.
+
+    checkpoints: tenant, through_seq, chain_hash. A log is verified from the row
+    behind its last checkpoint, which that row's predecessor must match.
+    """
+    last = checkpoints.groupBy("tenant").agg(F.max(F.struct("through_seq", "chain_hash")).alias("c")).select("tenant", F.col("c.through_seq").alias("seq"), F.col("c.chain_hash").alias("hash"))
+    due = due_checkpoints(log, checkpoints, least, force)
+    said = verify(log.join(due.select("tenant"), "tenant", "left_semi"), last.select("tenant", (F.col("seq") + 1).alias("from_seq")), last)
+    text = F.to_json(F.struct(F.col("chain_hash").alias("chainHash"), F.col("event_count").cast("string").alias("eventCount"), F.lit(None).cast("string").alias("externalRef"), F.col("through_seq").cast("string").alias("throughSeq")), {"ignoreNullFields": "false"})
+    made = due.join(said.where("ok").select("tenant"), "tenant", "left_semi").withColumns({"action": F.lit("audit.checkpointed"), "payload": text})
+    return made, said.where("not ok").select("tenant", "broken_at", "reason")

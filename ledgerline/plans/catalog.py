@@ -154,10 +154,33 @@ def chain_verify_gap(spark, d):
     return chain.verify(_log(spark, d).where("seq <> 3")).select("tenant", "ok", "events_verified", "broken_at", "reason", "expected", "actual")
 
 
-@query("select user_id as tenant, count(*) as through_seq, count(*) as event_count from events group by user_id having count(*) >= 60")
+_CHECKPOINTS = """select user_id as tenant, count(*) as through_seq, count(*) as event_count from events group by user_id having user_id % 2 = 1 or count(*) - 5 >= 60"""
+
+
+def _checkpoints(log: DataFrame) -> DataFrame:
+    """Every second tenant's, at its fifth event or the last before."""
+    first = log.where("tenant % 2 = 0 and seq <= 5").groupBy("tenant").agg(F.max(F.struct("seq", "hash")).alias("x"))
+    return first.select("tenant", F.lit(5).cast("long").alias("through_seq"), F.col("x.hash").alias("chain_hash"))
+
+
+@query(_CHECKPOINTS)
 def checkpoint_head(spark, d):
-    none = spark.createDataFrame([], "tenant long, through_seq long")
-    return chain.due_checkpoints(_log(spark, d), none, 60).select("tenant", "through_seq", "event_count")
+    log = _log(spark, d)
+    return chain.due_checkpoints(log, _checkpoints(log), 60).select("tenant", "through_seq", "event_count")
+
+
+@query(f"select tenant, through_seq, event_count, 'audit.checkpointed' as action from ({_CHECKPOINTS}) where through_seq < 70 or tenant % 3 <> 0")
+def checkpoints_created(spark, d):
+    log = _log(spark, d)
+    edited = log.withColumn("payload", F.when((F.col("seq") == 70) & (F.col("tenant") % 3 == 0), F.lit("{}")).otherwise(F.col("payload")))
+    return chain.checkpointed(edited, _checkpoints(log), 60)[0].select("tenant", "through_seq", "event_count", "action")
+
+
+@query("select event_id as id, case when event_id % 10 = 0 then 'tenant' when event_type = 'view' then 'action' when event_id % 7 = 0 then 'payload' end as problem from events where event_id % 10 = 0 or event_type = 'view' or event_id % 7 = 0")
+def audit_refused(spark, d):
+    key = F.col("event_id")
+    e = table(spark, d, "events").select(F.when(key % 10 != 0, F.col("user_id")).alias("tenant"), key.alias("id"), F.concat("event_type", F.when(F.col("event_type") == "view", "").otherwise(".done")).alias("action"), F.when(key % 7 != 0, F.col("props")).alias("payload"))
+    return chain.prepared(e)[1].select("id", "problem")
 
 
 # --- content addressing ------------------------------------------------------

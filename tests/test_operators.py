@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import canon
-from ledgerline.operators import chain, folds, lineage, paging, processors, runs, search, uploads
+from ledgerline.operators import chain, completion, folds, lineage, paging, processors, runs, search, uploads
 from ledgerline.sources.tables import Scope, ScopedCatalog
 from ledgerline.streaming import streams
 
@@ -73,6 +73,43 @@ def test_anchor_and_continued_append(spark):
     assert {(r.broken_at, r.reason) for r in chain.verify(both, 3, anchors).collect()} == {(2, "hash")}
 
 
+def test_checkpoints_follow_verified_logs(spark):
+    log = chain.append(events(spark, 24))
+    none = log.limit(0).select("tenant", F.col("seq").alias("through_seq"), F.col("hash").alias("chain_hash"))
+    made, broken = chain.checkpointed(log, none)
+    assert sorted(tuple(r)[:2] for r in made.collect()) == [(1, 12), (2, 12)] and broken.isEmpty()
+    seventh = log.where("seq = 7").select("tenant", F.col("seq").alias("through_seq"), F.col("hash").alias("chain_hash"))
+    assert chain.checkpointed(log, seventh, 6)[0].isEmpty() and chain.checkpointed(log, seventh, 5)[0].count() == chain.checkpointed(log, seventh, 6, force=True)[0].count() == 2
+    before = log.withColumn("payload", F.when((F.col("seq") == 3) & (F.col("tenant") == 1), F.lit("x")).otherwise(F.col("payload")))
+    assert chain.checkpointed(before, seventh, 5)[0].count() == 2  # behind the last checkpoint only
+    made, broken = chain.checkpointed(before.where("tenant = 1 or seq <> 9"), none)
+    assert made.isEmpty() and sorted(map(tuple, broken.collect())) == [(1, 3, "payload_digest"), (2, 9, "sequence_gap")]
+    false_ = seventh.withColumn("chain_hash", F.when(F.col("tenant") == 2, F.lit("f" * 64)).otherwise(F.col("chain_hash")))
+    made, broken = chain.checkpointed(log, false_, 5)
+    assert [r.tenant for r in made.collect()] == [1] and [tuple(r) for r in broken.collect()] == [(2, 7, "hash")]
+    assert json.loads(made.first().payload) == {"chainHash": made.first().chain_hash, "eventCount": "12", "externalRef": None, "throughSeq": "12"}
+
+
+def test_completed_uploads_reach_the_log(spark):
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    d = [c * 64 for c in "abc"]
+    entries = one([(1, 7, "x", d[0], 3, "PENDING", None), (2, 7, "y", d[1], 3, "PENDING", None), (3, 7, "z", d[2], 3, "PENDING", None), (4, 8, "x", d[0], 3, "PENDING", None)], "id long, run long, name string, digest string, size long, verification string, artifact long")
+    runs_, asked = one([(7, "OPEN"), (8, "OPEN"), (9, "SEALED")], "run long, state string"), spark.range(1, 5)
+    sessions = one([(i, "OPEN", 1) for i in range(1, 5)], "id long, state string, total_parts long")
+    parts = one([(i, 1, "e") for i in range(1, 5)], "id long, part_number long, etag string")
+    stored = one([(1, 3, 3, d[0]), (2, 3, 3, d[2]), (3, 3, 3, d[2]), (4, 3, 3, d[0])], "id long, head_size long, read_size long, read_digest string")
+    artifacts = one([], "digest string, artifact long")
+    done = completion.completed(asked, entries, runs_, sessions, parts, stored, artifacts)
+    assert {r.id: (r.outcome, r.artifact) for r in done.outcomes.collect()} == {1: ("verified", 1), 2: ("digest_mismatch", None), 3: ("run_not_open", None), 4: ("verified", 1)}
+    assert {r.run: r.state for r in done.runs.collect()} == {7: "QUARANTINED", 8: "OPEN", 9: "SEALED"} and {r.id: r.state for r in done.sessions.collect()} == {1: "COMPLETED", 2: "ABORTED", 3: "OPEN", 4: "COMPLETED"}
+    assert [(r.artifact, r.first_seen_run) for r in done.artifacts.collect()] == [(1, 7)] and {r.id: r.verification for r in done.entries.collect()} == {1: "VERIFIED", 2: "REJECTED", 3: "PENDING", 4: "VERIFIED"}
+    ready, refused = chain.prepared(done.events.withColumns({"tenant": F.lit(1).cast("long"), "id": F.col("id") * 2 + F.col("place"), "occurred_at": F.lit("2024-01-01").cast("timestamp")}))
+    log = chain.append(ready)
+    assert refused.isEmpty() and log.count() == 4 and chain.verify(log).first().ok
+    again = completion.completed(asked, done.entries, done.runs, done.sessions, parts, stored, done.artifacts.select("digest", "artifact"))
+    assert {r.id: r.outcome for r in again.outcomes.collect()} == {1: "done", 2: "run_not_open", 3: "run_not_open", 4: "done"} and again.events.isEmpty()
+
+
 def test_stream_appends_a_chain(spark, tmp_path):
     for k in range(3):
         events(spark, 10, 10 * k).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
