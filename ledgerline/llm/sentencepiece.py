@@ -51,7 +51,7 @@ BLOCK_BYTES = 64 << 20
 #: Characters of the longest part that is encoded by relations, and of those whose fold keeps its places in the bits of one number.
 LONGEST_WORD, BITS = 4096, 62
 #: Bytes of text that a task encodes at once, and parts that it gathers before it sends them on.
-SLICE_BYTES, GATHERED = 8 << 20, 800_000
+SLICE_BYTES, GATHERED = 4 << 20, 800_000
 #: What an unknown character costs below the lowest score, in a unigram model.
 UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -483,6 +483,7 @@ class Blocks:
         """The ids of all texts in a row, and where each text's begin and the last ones end."""
         if block != self.block:
             self._open(block)
+            pa.default_memory_pool().release_unused()
         words, borders = cut(texts)
         met = words.dictionary_encode()
         cuts, ends = parts(met.dictionary, self.model)
